@@ -182,9 +182,11 @@ def spans_of(df: DataFrame, tags: str = "tags", mode: str = "strict") -> DataFra
 def group_tokens(tags: Column, scores: Column, offsets: Column, text: Column) -> Column:
     """Token predictions -> array<struct<entity_group, word, start, end, confidence_score>>.
 
-    Neighbouring tokens of one type form a mention, `B-` begins a new one, `O` drops out.
-    The score is the mean over the tokens; the word is the text between first and last.
+    Neighbouring tokens of one type form a mention, `B-` begins a new one, `O` drops out, and
+    so do special tokens, whose offsets are (0, 0). The score is the mean over the tokens;
+    the word is the text between first and last.
     """
+    real = F.zip_with(tags, offsets, lambda t, o: F.when((o["start"] == 0) & (o["end"] == 0), "O").otherwise(t))
 
     def grouped(spans: Column, sc: Column, offs: Column) -> Column:
         return F.transform(
@@ -208,5 +210,5 @@ def group_tokens(tags: Column, scores: Column, offsets: Column, text: Column) ->
         )
 
     return let(
-        bio_spans(tags, "lenient"), lambda spans: let(scores, lambda sc: let(offsets, lambda o: grouped(spans, sc, o)))
+        bio_spans(real, "lenient"), lambda spans: let(scores, lambda sc: let(offsets, lambda o: grouped(spans, sc, o)))
     )

@@ -33,7 +33,11 @@ def tagger_samples(
     documents: DataFrame, max_len: int | None = 128, mask_special: bool = False
 ) -> DataFrame:
     """Lines with tokens, offsets and BIO tags (T10 before id encoding)."""
-    tokenized = tokens.tokenize_offsets(line_entities(documents), "text", max_len)
+    return aligned_samples(line_entities(documents), max_len, mask_special)
+
+
+def aligned_samples(entities: DataFrame, max_len: int | None = 128, mask_special: bool = False) -> DataFrame:
+    tokenized = tokens.tokenize_offsets(entities, "text", max_len)
     return tokens.align_bio(tokenized, mask_special).select(
         *LINE_KEY,
         "text",

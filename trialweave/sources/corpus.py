@@ -15,14 +15,14 @@ def _whole_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, extension: str = ".txt") -> DataFrame:
     """All `*.txt` of a folder -> (file, text); `file` is the name without extension."""
-    return _whole_files(spark, path, ".txt").withColumnRenamed("value", "text")
+    return _whole_files(spark, path, extension).withColumnRenamed("value", "text")
 
 
-def read_annotation_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_annotation_texts(spark: SparkSession, path: str, extension: str = ".ann") -> DataFrame:
     """All `*.ann` of a folder -> (file, ann_text)."""
-    return _whole_files(spark, path, ".ann").withColumnRenamed("value", "ann_text")
+    return _whole_files(spark, path, extension).withColumnRenamed("value", "ann_text")
 
 
 def annotation_lines(ann_texts: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def annotation_lines(ann_texts: DataFrame) -> DataFrame:
     )
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return annotation_lines(read_annotation_texts(spark, path))
+def read_annotations(spark: SparkSession, path: str, extension: str = ".ann") -> DataFrame:
+    """A3: the annotation lines of a folder."""
+    return annotation_lines(read_annotation_texts(spark, path, extension))
