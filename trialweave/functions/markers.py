@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The marker tokens.
 MARKERS = ("[E1]", "[/E1]", "[E2]", "[/E2]")
 
+MAX_POSITION = (1 << 31) - 1  # behind the end of any text
+
 
 def inject_markers(
     text: Column,
@@ -30,7 +32,7 @@ def inject_markers(
     inserts = F.sort_array(
         F.array(
             *[
-                F.struct((-pos.cast("int")).alias("neg"), F.lit(rank).alias("tie"), F.lit(m).alias("marker"))
+                F.struct((-F.least(pos, F.lit(MAX_POSITION)).cast("int")).alias("neg"), F.lit(rank).alias("tie"), F.lit(m).alias("marker"))
                 for pos, rank, m in zip((e1_start, e1_end, e2_start, e2_end), tie, MARKERS)
             ]
         )

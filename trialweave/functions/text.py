@@ -53,7 +53,7 @@ def key_digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
 
 
-def running_offsets(lengths: Column, block: int = 64) -> Column:
+def running_offsets(lengths: Column, block: int = 32) -> Column:
     """Exclusive prefix sums of an int array: [3, 1, 2] -> [0, 3, 4].
 
     Sums run inside blocks first and over the block totals second, so a row of n values

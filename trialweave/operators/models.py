@@ -26,7 +26,7 @@ from trialweave.operators.metrics import classification_report, confusion_matrix
 from trialweave.operators.pairs import nested_pairs, overlaps
 from trialweave.operators.skew import join_on_hot_key, join_small
 from trialweave.operators.spans import nest_relations
-from trialweave.operators.tokens import word_tokens
+from trialweave.operators.tokens import located_tokens, text_pieces, word_tokens
 from trialweave.session import cut_lineage
 from trialweave.sources.studies import ENTITIES
 
@@ -71,34 +71,56 @@ def build_lexicon(mentions: DataFrame, surface: str = "text", kind: str = "type"
     return best.withColumn("n_tokens", F.size(word_tokens(F.col("surface")))).where("n_tokens > 0")
 
 
-def lexicon_tagger(sentences: DataFrame, lexicon: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+def lexicon_tagger(
+    sentences: DataFrame,
+    lexicon: DataFrame,
+    key: Sequence[str],
+    text: str = "text",
+    fraction: float = 0.01,
+    **join_options: int,
+) -> DataFrame:
     """H2: add `entities` by dictionary lookup, leftmost and longest first, without overlaps.
 
-    Token n-grams are joined with the lexicon, which may outgrow memory; frequent n-grams
-    are hot keys and are scattered over blocks. The greedy choice runs inside a sentence.
+    Token n-grams of the lengths that occur are joined with the lexicon, which is broadcast
+    while it is counted to fit. Beyond that frequent n-grams are hot keys, found on a sample
+    of the sentences. The greedy choice runs inside a sentence.
     """
     lexicon = cut_lineage(lexicon)
     lengths = sorted(r[0] for r in lexicon.select("n_tokens").distinct().collect())
 
-    def grams(t: Column) -> Column:
-        per_length = [
-            F.transform(
-                t, lambda x, i, n=n: F.struct(x["start"].alias("start"), F.get(t, i + (n - 1))["end"].alias("end"))
-            )
-            for n in lengths
-        ]
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        return F.filter(F.concat(none, *per_length), lambda g: g["end"].isNotNull())
-
-    spans = sentences.select(
-        *key, F.col(text).alias("_s"), F.explode(let(word_tokens(F.col(text)), grams)).alias("z")
-    ).select(
-        *key,
-        "z.start",
-        "z.end",
-        F.substr("_s", F.col("z.start") + 1, F.col("z.end") - F.col("z.start")).alias("word"),
-    ).withColumn("surface", F.lower("word"))
-    hits = join_on_hot_key(spans, lexicon.select("surface", "type"), ["surface"], [*key, "start", "end"])
+    def grams_of(rows: DataFrame) -> DataFrame:
+        def grams(pieces: Column, t: Column) -> Column:
+            def of_length(n: int) -> Column:
+                return F.transform(
+                    F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0))),
+                    lambda x, i: let(
+                        t[i + (n - 1)],
+                        lambda last: F.struct(
+                            x["start"].alias("start"),
+                            last["end"].alias("end"),
+                            F.array_join(F.slice(pieces, x["at"] + 1, last["at"] - x["at"] + 1), "").alias("word"),
+                        ),
+                    ),
+                )
+
+            none = F.array().cast("array<struct<start:int,end:int,word:string>>")
+            return F.concat(none, *[of_length(n) for n in lengths])
+
+        spans = let(text_pieces(F.col(text)), lambda p: let(located_tokens(p), lambda t: grams(p, t)))
+        exploded = rows.select(*key, F.explode(spans).alias("z"))
+        return exploded.select(*key, "z.start", "z.end", "z.word", F.lower("z.word").alias("surface"))
+
+    sample = grams_of(sentences.sample(fraction, seed=1))
+    hits = join_on_hot_key(
+        grams_of(sentences),
+        lexicon.select("surface", "type"),
+        ["surface"],
+        [*key, "start", "end"],
+        "inner",
+        sample,
+        fraction,
+        **join_options,
+    )
 
     empty = F.array().cast(ENTITIES)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 100_000
 MAX_SMALL_ROWS = 10_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 def join_small(
@@ -30,19 +31,22 @@ def join_small(
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, small.schema)), list(keys), how)
 
 
-def hot_blocks(df: DataFrame, keys: Sequence[str], block_rows: int | None) -> DataFrame | None:
+def hot_blocks(
+    df: DataFrame, keys: Sequence[str], block_rows: int | None, fraction: float = 1.0
+) -> DataFrame | None:
     """Keys with more than `block_rows` rows -> (keys, _blocks), or None where there is none.
 
     One counting pass, pre-aggregated before its shuffle; give it a written or checkpointed
-    input if that is costly to compute. At most MAX_HOT_KEYS + 1 rows come to the driver. A
-    table within that bound is broadcast, a longer one is joined. `block_rows=None` skips
-    the pass and leaves skew to adaptive execution.
+    input if that is costly to compute, or rows of a sample together with its `fraction`:
+    the blocks only spread the work, so the join result is exact either way. At most
+    MAX_HOT_KEYS + 1 rows come to the driver. A table within that bound is broadcast, a
+    longer one is joined. `block_rows=None` skips the pass.
     """
     if block_rows is None:
         return None
     blocks = (
         df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
+        .agg((F.count("*") / F.lit(fraction)).alias("_n"))
         .where(F.col("_n") > block_rows)
         .select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
     )
@@ -74,20 +78,35 @@ def replicate(df: DataFrame, blocks: DataFrame | None, keys: Sequence[str]) -> D
     )
 
 
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """At most `max_rows` rows; the count stops there."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
 def join_on_hot_key(
     many: DataFrame,
     one: DataFrame,
     keys: Sequence[str],
     row_key: Sequence[Column | str],
     how: str = "inner",
-    block_rows: int | None = 1_000_000,
+    sample: DataFrame | None = None,
+    fraction: float = 1.0,
+    block_rows: int = 1_000_000,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join where `keys` may be hot in `many` and is unique in `one`."""
-    blocks = hot_blocks(many, keys, block_rows)
-    if blocks is None:
-        return many.join(one, list(keys), how)
+    """Join where `keys` may be hot in `many` and is unique in `one`.
+
+    A `one` side that is counted to fit is broadcast, so that `many` is not shuffled.
+    Beyond that the hot keys, found on `sample` (a `fraction` of `many`), are scattered over
+    blocks; the merge hint keeps Spark from broadcasting `many` on an estimate that does not
+    know how far an explode spreads.
+    """
+    if fits(one, max_broadcast):
+        return many.join(F.broadcast(one), list(keys), how)
+    blocks = hot_blocks(many if sample is None else sample, keys, block_rows, fraction)
     return (
         scatter(many, blocks, keys, row_key)
+        .hint("merge")
         .join(replicate(one, blocks, keys), [*keys, "_block"], how)
         .drop("_block")
     )

@@ -12,6 +12,7 @@ from trialweave.operators.skew import hot_blocks, replicate, scatter
 
 OFFSET_BUCKET = 4096
 MAX_TEXT = 1 << 31  # a Spark string is shorter
+LINE_ENTITIES = "array<struct<id:string,type:string,start:bigint,end:bigint,text:string>>"
 
 
 def pair_documents(texts: DataFrame, ann_texts: DataFrame) -> DataFrame:
@@ -31,9 +32,7 @@ def line_offsets(texts: DataFrame) -> DataFrame:
 
 def realign_offsets(df: DataFrame, off: str = "off") -> DataFrame:
     """Document offsets to offsets inside the line."""
-    return df.withColumn("start", (F.col("start") - F.col(off)).cast("int")).withColumn(
-        "end", (F.col("end") - F.col(off)).cast("int")
-    )
+    return df.withColumn("start", F.col("start") - F.col(off)).withColumn("end", F.col("end") - F.col(off))
 
 
 def assign_to_lines(
@@ -94,13 +93,12 @@ def nest_entities(lines: DataFrame, line_mentions: DataFrame) -> DataFrame:
     nested = line_mentions.groupBy("file", "line_no").agg(
         F.array_sort(F.collect_list(F.struct(*order, "end", "id", "type", "text"))).alias("e")
     )
-    fields = "id string, type string, start int, end int, text string"
-    entities = F.transform("e", lambda x: F.struct(*[x[f.split()[0]].alias(f.split()[0]) for f in fields.split(", ")]))
+    entities = F.transform("e", lambda x: F.struct(*[x[f].alias(f) for f in ("id", "type", "start", "end", "text")]))
     return (
         lines.join(nested, ["file", "line_no"], "left")
         .withColumn(
             "entities",
-            F.coalesce(entities, F.array().cast("array<struct<id:string,type:string,start:int,end:int,text:string>>")),
+            F.coalesce(entities, F.array().cast(LINE_ENTITIES)),
         )
         .drop("e")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.markers import MARKERS
 from trialweave.functions.tags import bio_spans
-from trialweave.functions.text import WORD, WS, let, running_offsets
+from trialweave.functions.text import WORD, WS, is_blank, let, running_offsets
 from trialweave.operators.ordering import row_index
 from trialweave.operators.skew import join_on_hot_key
 
@@ -19,46 +19,51 @@ SPECIAL_TOKENS = (PAD, UNK, CLS, SEP)
 
 _MARKER = "\\[/?E[12]\\]"
 _PIECE = f"{_MARKER}|[{WORD}]+|[{WS}]+|[^{WORD}{WS}]"
-TOKEN = "struct<token:string,start:int,end:int>"
+
+
+def text_pieces(text: Column) -> Column:
+    """The text cut into words, single punctuation marks, entity markers and white-space runs."""
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+
+def located_tokens(pieces: Column) -> Column:
+    """array<struct<token, start, end, at>> of the pieces that are no white space; `at` is the piece's index."""
+    starts = running_offsets(F.transform(pieces, lambda p: F.length(p)))
+    located = F.transform(
+        F.arrays_zip(pieces.alias("token"), starts.alias("start")),
+        lambda z, i: F.struct(
+            z["token"].alias("token"),
+            z["start"].alias("start"),
+            (z["start"] + F.length(z["token"])).alias("end"),
+            i.alias("at"),
+        ),
+    )
+    return F.filter(located, lambda z: ~is_blank(z["token"]))
 
 
 def word_tokens(text: Column, limit: int | None = None) -> Column:
-    """array<struct<token, start, end>>: words, single punctuation marks and entity markers.
+    """array<struct<token, start, end, at>>: words, single punctuation marks and entity markers.
 
     `limit` keeps the first tokens only (the model's truncation); offsets are then computed
     for that part alone.
     """
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    pieces = text_pieces(text)
     if limit is not None:
         # White-space runs and tokens alternate at most, so this many pieces suffice.
         pieces = F.slice(pieces, 1, 2 * limit + 1)
-
-    def located(parts: Column) -> Column:
-        zipped = F.arrays_zip(
-            parts.alias("token"), running_offsets(F.transform(parts, lambda p: F.length(p))).alias("start")
-        )
-        return F.transform(
-            F.filter(zipped, lambda z: ~z["token"].rlike(f"^[{WS}]")),
-            lambda z: F.struct(
-                z["token"].alias("token"),
-                z["start"].alias("start"),
-                (z["start"] + F.length(z["token"])).cast("int").alias("end"),
-            ),
-        )
-
-    tokens = let(pieces, located)
+    tokens = let(pieces, located_tokens)
     return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
-def tokenize_offsets(df: DataFrame, text: str = "text", max_len: int | None = 128) -> DataFrame:
+def tokenize_offsets(df: DataFrame, text: str = "text", max_len: int | None = 128, pad: bool = True) -> DataFrame:
     """G1: add `tokens`, `offsets` and `attention_mask`.
 
     [CLS] and [SEP] surround the tokens; the row is cut and padded to `max_len` (None: no
-    cut, no padding). Specials and pads have the offsets (0, 0).
+    cut, no padding; `pad=False`: no padding). Specials and pads have the offsets (0, 0).
     """
     zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     base = df.withColumn("_t", word_tokens(F.col(text), None if max_len is None else max_len - 2))
-    pads = F.lit(0) if max_len is None else F.lit(max_len - 2) - F.size("_t")
+    pads = F.lit(0) if max_len is None or not pad else F.lit(max_len - 2) - F.size("_t")
     return (
         base.withColumn("_pads", pads)
         .withColumn(
@@ -107,16 +112,27 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1) -> Da
     return fixed.unionByName(ranked)
 
 
-def encode_tokens(df: DataFrame, vocab: DataFrame, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
+def encode_tokens(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: Sequence[str],
+    tokens: str = "tokens",
+    fraction: float = 0.01,
+    **join_options: int,
+) -> DataFrame:
     """Add `input_ids`; tokens outside the vocabulary become [UNK].
 
-    The vocabulary grows with the corpus, so it is joined, not broadcast. Frequent tokens
-    are hot keys and are scattered over blocks.
+    The vocabulary grows with the corpus: it is broadcast while it is counted to fit. Beyond
+    that frequent tokens are hot keys, found on a sample of the rows.
     """
     unknown = SPECIAL_TOKENS.index(UNK)
-    placed = df.select(*key, F.posexplode(tokens).alias("pos", "token"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, F.posexplode(tokens).alias("pos", "token"))
+
+    sample = place(df.sample(fraction, seed=1))
     ids = (
-        join_on_hot_key(placed, vocab, ["token"], [*key, "pos"], how="left")
+        join_on_hot_key(place(df), vocab, ["token"], [*key, "pos"], "left", sample, fraction, **join_options)
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("ids"))
     )

@@ -30,14 +30,16 @@ def line_entities(
 
 
 def tagger_samples(
-    documents: DataFrame, max_len: int | None = 128, mask_special: bool = False
+    documents: DataFrame, max_len: int | None = 128, mask_special: bool = False, pad: bool = True
 ) -> DataFrame:
     """Lines with tokens, offsets and BIO tags (T10 before id encoding)."""
-    return aligned_samples(line_entities(documents), max_len, mask_special)
+    return aligned_samples(line_entities(documents), max_len, mask_special, pad)
 
 
-def aligned_samples(entities: DataFrame, max_len: int | None = 128, mask_special: bool = False) -> DataFrame:
-    tokenized = tokens.tokenize_offsets(entities, "text", max_len)
+def aligned_samples(
+    entities: DataFrame, max_len: int | None = 128, mask_special: bool = False, pad: bool = True
+) -> DataFrame:
+    tokenized = tokens.tokenize_offsets(entities, "text", max_len, pad)
     return tokens.align_bio(tokenized, mask_special).select(
         *LINE_KEY,
         "text",
@@ -50,9 +52,11 @@ def aligned_samples(entities: DataFrame, max_len: int | None = 128, mask_special
     )
 
 
-def tagger_dataset(documents: DataFrame, max_len: int | None = 128, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def tagger_dataset(
+    documents: DataFrame, max_len: int | None = 128, seed: int = 42, pad: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Split samples with label ids, and the label map."""
-    samples = cut_lineage(tagger_samples(documents, max_len))
+    samples = cut_lineage(tagger_samples(documents, max_len, pad=pad))
     entity_types = samples.select(F.explode("entities.type").alias("type"))
     label_map = cut_lineage(labels.ner_label_map(entity_types))
     encoded = labels.encode_tags(samples, label_map)

@@ -111,10 +111,10 @@ def ner_label_map(spark, sf_dir):
 
 
 def tagger_rows(spark, sf_dir):
-    """The tagger dataset: 128-token rows with label ids, stratum and split."""
+    """The tagger dataset, cut at 128 tokens and not padded: label ids, stratum and split."""
 
     def build():
-        samples = datasets.aligned_samples(line_entities(spark, sf_dir))
+        samples = datasets.aligned_samples(line_entities(spark, sf_dir), pad=False).drop("offsets", "entities")
         encoded = cut_lineage(labels.encode_tags(samples, ner_label_map(spark, sf_dir)))
         return sampling.multilabel_split(encoded, datasets.LINE_KEY)
 
@@ -140,8 +140,8 @@ def entity_sentences(spark, sf_dir):
         lambda x: F.struct(
             x["type"].alias("entity_group"),
             x["text"].alias("word"),
-            x["start"].alias("start"),
-            x["end"].alias("end"),
+            x["start"].cast("int").alias("start"),
+            x["end"].cast("int").alias("end"),
             F.lit(1.0).alias("confidence_score"),
         ),
     )

@@ -38,8 +38,8 @@ def _strip(expr: str) -> str:
 VIEWS: dict[str, str] = {
     # registry
     "doc_lines": f"""
-        SELECT doc_id, i - 1 AS i, len(ls) AS n, ls[i] AS line
-        FROM (SELECT doc_id, string_split(text, {NL}) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)""",
+        SELECT doc_id, unnest(range(0, len(ls))) AS i, len(ls) AS n, unnest(ls) AS line
+        FROM (SELECT doc_id, string_split(text, {NL}) AS ls FROM documents)""",
     "marked_lines": f"""
         SELECT doc_id, i,
           CASE WHEN i = 0 THEN 'Inclusion Criteria:' || {NL} WHEN i = n // 2 THEN ' EXCLUSION  criteria' || {NL} ELSE '' END
@@ -49,8 +49,9 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, 'D' || doc_id AS StudyNCTid, string_agg(block, {NL} ORDER BY i) AS cell
         FROM marked_lines GROUP BY doc_id""",
     "block_lines": f"""
-        SELECT doc_id, StudyNCTid, i - 1 AS line_no, {_strip('ls[i]')} AS line
-        FROM (SELECT doc_id, StudyNCTid, string_split(cell, {NL}) AS ls FROM blocks), unnest(range(1, len(ls) + 1)) t(i)""",
+        SELECT doc_id, StudyNCTid, line_no, {_strip('raw')} AS line FROM (
+          SELECT doc_id, StudyNCTid, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS raw
+          FROM (SELECT doc_id, StudyNCTid, string_split(cell, {NL}) AS ls FROM blocks))""",
     "headed": rf"""
         SELECT *, CASE WHEN regexp_matches(line, '(?i)^inclusion[{WS}]+criteria') THEN 'inclusion'
                        WHEN regexp_matches(line, '(?i)^exclusion[{WS}]+criteria') THEN 'exclusion' END AS head
@@ -74,14 +75,17 @@ VIEWS: dict[str, str] = {
           lang, regexp_replace(text, '([.!?]) ', '\\1' || {NL}, 'g') AS text
         FROM documents""",
     "all_lines": f"""
-        SELECT file, lang, i - 1 AS line_no, ls[i] AS text, CAST(coalesce(sum(length(ls[i]) + 1)
-          OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
-        FROM (SELECT file, lang, string_split(text, {NL}) AS ls FROM docs), unnest(range(1, len(ls) + 1)) t(i)""",
+        SELECT file, lang, line_no, text, CAST(coalesce(sum(length(text) + 1)
+          OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
+        FROM (SELECT file, lang, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS text
+              FROM (SELECT file, lang, string_split(text, {NL}) AS ls FROM docs))""",
     "words": """
-        SELECT file, lang, line_no, j, ws[j] AS w, ws[j - 1] AS prev, ws[j + 1] AS next,
-          CAST(off + coalesce(sum(length(ws[j]) + 1) OVER (PARTITION BY file, line_no ORDER BY j
+        SELECT file, lang, line_no, j, w, lag(w) OVER l AS prev, lead(w) OVER l AS next,
+          CAST(off + coalesce(sum(length(w) + 1) OVER (PARTITION BY file, line_no ORDER BY j
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-        FROM (SELECT file, lang, line_no, off, string_split(text, ' ') AS ws FROM all_lines), unnest(range(1, len(ws) + 1)) t(j)""",
+        FROM (SELECT file, lang, line_no, off, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w
+              FROM (SELECT file, lang, line_no, off, string_split(text, ' ') AS ws FROM all_lines))
+        WINDOW l AS (PARTITION BY file, line_no ORDER BY j)""",
     "found": f"""
         SELECT file, line_no, row_number() OVER (PARTITION BY file ORDER BY line_no, j) AS ord, surface, start, next,
           start + length(w) + 1 AS next_start, {_hash("lower(surface) || '|' || lang")} % {len(TYPES)} AS code,
@@ -170,9 +174,10 @@ VIEWS: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY file, e1_id, e2_id ORDER BY score DESC, id) = 1""",
     # tokens
     "pieces": f"""
-        SELECT file, line_no, k, ps[k] AS token, CAST(coalesce(sum(length(ps[k])) OVER (PARTITION BY file, line_no ORDER BY k
+        SELECT file, line_no, k, token, CAST(coalesce(sum(length(token)) OVER (PARTITION BY file, line_no ORDER BY k
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
-        FROM (SELECT file, line_no, regexp_extract_all(text, '{PIECE}') AS ps FROM text_lines), unnest(range(1, len(ps) + 1)) t(k)""",
+        FROM (SELECT file, line_no, unnest(range(0, len(ps))) AS k, unnest(ps) AS token
+              FROM (SELECT file, line_no, regexp_extract_all(text, '{PIECE}') AS ps FROM text_lines))""",
     "toks": f"""
         SELECT file, line_no, row_number() OVER (PARTITION BY file, line_no ORDER BY k) AS pos, token, s, s + length(token) AS e
         FROM pieces WHERE NOT regexp_matches(token, '^[{WS}]')""",
@@ -302,9 +307,10 @@ VIEWS["lexicon"] = """
 VIEWS["lexicon_tokens"] = f"""
         SELECT surface, type, len(list_filter(regexp_extract_all(surface, '{PIECE}'), lambda p: NOT regexp_matches(p, '^[{WS}]'))) AS n_tokens FROM lexicon"""
 VIEWS["sent_pieces"] = f"""
-        SELECT sentence_id, text, k, ps[k] AS token, CAST(coalesce(sum(length(ps[k])) OVER (PARTITION BY sentence_id ORDER BY k
+        SELECT sentence_id, text, k, token, CAST(coalesce(sum(length(token)) OVER (PARTITION BY sentence_id ORDER BY k
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
-        FROM (SELECT sentence_id, text, regexp_extract_all(text, '{PIECE}') AS ps FROM sentences), unnest(range(1, len(ps) + 1)) t(k)"""
+        FROM (SELECT sentence_id, text, unnest(range(0, len(ps))) AS k, unnest(ps) AS token
+              FROM (SELECT sentence_id, text, regexp_extract_all(text, '{PIECE}') AS ps FROM sentences))"""
 VIEWS["sent_toks"] = f"""
         SELECT sentence_id, text, row_number() OVER (PARTITION BY sentence_id ORDER BY k) AS pos, s, s + length(token) AS e
         FROM sent_pieces WHERE NOT regexp_matches(token, '^[{WS}]')"""
@@ -520,9 +526,10 @@ _SQL: dict[str, str] = {
     "tag_entities": """
         SELECT sentence_id, entity_group, word, start, "end", round(1.0::DOUBLE / length(word), 6) AS confidence_score FROM (
           SELECT sentence_id, CASE WHEN regexp_matches(p, '^[0-9]') THEN 'Value' ELSE 'Condition' END AS entity_group, p AS word, s AS start, s + length(p) AS "end"
-          FROM (SELECT sentence_id, ps[k] AS p, coalesce(sum(length(ps[k])) OVER (PARTITION BY sentence_id ORDER BY k
+          FROM (SELECT sentence_id, p, coalesce(sum(length(p)) OVER (PARTITION BY sentence_id ORDER BY k
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-            FROM (SELECT sentence_id, regexp_extract_all(text, '(?s)[A-Z][a-z]+|[0-9]+|.') AS ps FROM sentences), unnest(range(1, len(ps) + 1)) t(k))
+            FROM (SELECT sentence_id, unnest(range(0, len(ps))) AS k, unnest(ps) AS p
+                  FROM (SELECT sentence_id, regexp_extract_all(text, '(?s)[A-Z][a-z]+|[0-9]+|.') AS ps FROM sentences)))
           WHERE regexp_matches(p, '^([A-Z][a-z]+|[0-9]+)$'))""",
     "lexicon": "SELECT surface, type, n_tokens FROM lexicon_tokens WHERE n_tokens > 0",
     "lexicon_tagger": """

@@ -395,7 +395,8 @@ def encode_tokens(spark, sf):
 
 @query
 def align_bio(spark, sf):
-    return inputs.tagger_rows(spark, sf).select("file", "line_no", joined("tags").alias("tags"))
+    aligned = datasets.aligned_samples(inputs.line_entities(spark, sf))
+    return aligned.select("file", "line_no", joined("tags").alias("tags"))
 
 
 @query
