@@ -18,7 +18,7 @@ from trialweave.operators import annotations as ann
 from trialweave.operators import criteria, labels, metrics, models, pairs, sampling, spans, stats, tokens
 from trialweave.plans import bridge, datasets, inputs
 from trialweave.plans.extraction import run_extraction
-from trialweave.session import scratch_path
+from trialweave.session import scratch_path, ship_package
 from trialweave.sources import corpus, datasets as ds, studies as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -562,6 +562,7 @@ def distance_scorer():
 
 @query
 def tag_entities(spark, sf):
+    ship_package(spark)
     tagged = models.tag_entities(inputs.sentences(spark, sf), capital_tagger)
     return rounded(tagged.select("sentence_id", F.inline("entities")), "confidence_score")
 
@@ -582,6 +583,7 @@ def lexicon_tagger(spark, sf):
 
 @query
 def score_relations(spark, sf):
+    ship_package(spark)
     scored = models.score_relations(inputs.entity_sentences(spark, sf), distance_scorer, SCORER_LABELS)
     return rounded(scored.withColumn("marked_context", F.md5("marked_context")), "confidence_score")
 
@@ -589,12 +591,14 @@ def score_relations(spark, sf):
 @query
 def nest_relations(spark, sf):
     """Relations appended to their sentences, as text in list order."""
+    ship_package(spark)
     nested = models.with_relations(inputs.entity_sentences(spark, sf), distance_scorer, SCORER_LABELS)
     shown = F.transform("relations", lambda r: F.concat_ws("|", r["arg1"], r["relation"], r["arg2"]))
     return nested.select("sentence_id", F.size("relations").alias("n"), F.md5(F.array_join(shown, ";")).alias("relations_md5"))
 
 
 def _extracted(spark, sf, mode):
+    ship_package(spark)
     return run_extraction(
         inputs.sentences(spark, sf), mode, make_tagger=capital_tagger, make_scorer=distance_scorer, labels=SCORER_LABELS
     )
@@ -607,6 +611,7 @@ def extraction_entities(spark, sf):
 
 @query
 def extraction_relations(spark, sf):
+    ship_package(spark)
     rows = run_extraction(
         inputs.entity_sentences(spark, sf), "re", make_scorer=distance_scorer, labels=SCORER_LABELS
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,16 +31,18 @@ def get_spark(app: str = "trialweave", master: str | None = None, **conf: str) -
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local folder is made only on a local master that names none."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
+        if not current:
+            context.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,3 +63,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for models whose factories live in it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="run-"), "trialweave")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "trialweave"))
+    _SHIPPED.add(spark.sparkContext.applicationId)
