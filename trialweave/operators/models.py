@@ -71,6 +71,26 @@ def build_lexicon(mentions: DataFrame, surface: str = "text", kind: str = "type"
     return best.withColumn("n_tokens", F.size(word_tokens(F.col("surface")))).where("n_tokens > 0")
 
 
+MAX_FIRST_TOKENS = 2_000
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with one form of sigma, so that a token folds alike alone and inside a text."""
+    return F.translate(F.lower(c), "ς", "σ")
+
+
+def first_tokens(lexicon: DataFrame) -> dict[int, list[str]]:
+    """Per entry length the first tokens of the entries, for the lengths that have few."""
+    first = folded(word_tokens(F.col("surface"), 1)[0]["token"])
+    pairs = lexicon.select("n_tokens", first.alias("first")).distinct()
+    few = pairs.groupBy("n_tokens").agg(F.count("*").alias("n")).where(F.col("n") <= MAX_FIRST_TOKENS)
+    found: dict[int, list[str]] = {}
+    # At most MAX_FIRST_TOKENS rows for each of the few lengths.
+    for r in pairs.join(few.select("n_tokens"), "n_tokens").collect():
+        found.setdefault(r["n_tokens"], []).append(r["first"])
+    return found
+
+
 def lexicon_tagger(
     sentences: DataFrame,
     lexicon: DataFrame,
@@ -82,19 +102,25 @@ def lexicon_tagger(
     """H2: add `entities` by dictionary lookup, leftmost and longest first, without overlaps.
 
     Token n-grams of the lengths that occur are joined with the lexicon, which is broadcast
-    while it is counted to fit. Beyond that frequent n-grams are hot keys, found on a sample
+    while it is counted to fit. Lengths with few entries make n-grams only where one of
+    their first tokens stands. Beyond that frequent n-grams are hot keys, found on a sample
     of the sentences. The greedy choice runs inside a sentence.
     """
     lexicon = cut_lineage(lexicon)
     lengths = sorted(r[0] for r in lexicon.select("n_tokens").distinct().collect())
+    firsts = first_tokens(lexicon)
 
     def grams_of(rows: DataFrame) -> DataFrame:
         def grams(pieces: Column, t: Column) -> Column:
             def of_length(n: int) -> Column:
+                heads = F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0)))
+                heads = F.transform(heads, lambda x, i: F.struct(x["token"], x["start"], x["at"], i.alias("i")))
+                if n in firsts:
+                    heads = F.filter(heads, lambda x: folded(x["token"]).isin(firsts[n]))
                 return F.transform(
-                    F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0))),
-                    lambda x, i: let(
-                        t[i + (n - 1)],
+                    heads,
+                    lambda x: let(
+                        t[x["i"] + (n - 1)],
                         lambda last: F.struct(
                             x["start"].alias("start"),
                             last["end"].alias("end"),
@@ -134,7 +160,7 @@ def lexicon_tagger(
             F.struct(entity["end"].alias("last"), F.concat(acc["found"], F.array(entity)).alias("found")),
         ).otherwise(acc)
 
-    ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg_end"), "word", "type")))
+    ordered = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("neg_end"), "word", "type")))
     chosen = hits.groupBy(*key).agg(ordered.alias("m")).select(
         *key,
         F.aggregate("m", F.struct(F.lit(0).alias("last"), empty.alias("found")), pick)["found"].alias("entities"),

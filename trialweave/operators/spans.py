@@ -91,7 +91,7 @@ def nest_entities(lines: DataFrame, line_mentions: DataFrame) -> DataFrame:
     """Lines with their mentions as an array, stable by start; empty where none."""
     order = ["start", "ann_line", "frag_no"]
     nested = line_mentions.groupBy("file", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "end", "id", "type", "text"))).alias("e")
+        F.sort_array(F.collect_list(F.struct(*order, "end", "id", "type", "text"))).alias("e")
     )
     entities = F.transform("e", lambda x: F.struct(*[x[f].alias(f) for f in ("id", "type", "start", "end", "text")]))
     return (
@@ -114,7 +114,7 @@ def nest_relations(sentences: DataFrame, relations: DataFrame, key: str = "sente
     """Append each sentence's relations as an array in pair order; empty where none."""
     fields = ("arg1", "arg1_type", "arg2", "arg2_type", "relation", "confidence_score", "marked_context")
     nested = relations.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("i", "j", *fields))).alias("r")
+        F.sort_array(F.collect_list(F.struct("i", "j", *fields))).alias("r")
     )
     plain = F.transform("r", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     return (

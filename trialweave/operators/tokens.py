@@ -134,7 +134,7 @@ def encode_tokens(
     ids = (
         join_on_hot_key(place(df), vocab, ["token"], [*key, "pos"], "left", sample, fraction, **join_options)
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("ids"))
     )
     return df.join(ids, list(key), "left").withColumn(
         "input_ids", F.coalesce(F.col("ids.id"), F.array().cast("array<bigint>"))

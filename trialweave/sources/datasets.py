@@ -42,8 +42,8 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 def write_label_map(label_map: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """(id, label) -> one JSON object with both directions; it holds label-many entries."""
     both = label_map.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "id")))).alias("label2id"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "label")))).alias("id2label"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "id")))).alias("label2id"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "label")))).alias("id2label"),
     )
     both.select(F.to_json(F.struct("label2id", "id2label"))).coalesce(1).write.mode(mode).text(path)
 
