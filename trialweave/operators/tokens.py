@@ -174,15 +174,18 @@ def align_bio(df: DataFrame, mask_special: bool = False) -> DataFrame:
         # Entities behind the last kept token cannot label anything.
         reach = F.array_max(F.transform(offsets, lambda o: o["end"]))
         near = F.filter("entities", lambda x: x["start"] < reach)
-        return let(
-            near,
-            lambda ents: F.transform(
+        def per_token(ents: Column) -> Column:
+            return F.transform(
                 offsets,
                 lambda o, i: F.when((o["start"] == 0) & (o["end"] == 0), special).otherwise(
                     tag(o, F.when(i > 0, offsets[i - 1]["end"]).otherwise(0), ents)
                 ),
-            ),
-        )
+            )
+
+        if mask_special:
+            return let(near, per_token)
+        none = F.array_repeat(F.lit("O"), F.size(offsets))
+        return let(near, lambda ents: F.when(F.size(ents) == 0, none).otherwise(per_token(ents)))
 
     return df.withColumn("tags", let(F.col("offsets"), aligned))
 
