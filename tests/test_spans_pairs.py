@@ -123,6 +123,17 @@ def test_labels_last_line_wins(spark):
     assert all(v == "NO_RELATION" for k, v in got.items() if k != ("T0", "T1"))
 
 
+def test_labels_of_mentions_that_lie_in_two_lines(spark):
+    """Backwards spans can be in several lines; each line's pair gets the label."""
+    data = [("F", n, t, "X", 0, 1) for n in (0, 1) for t in ("T1", "T2")]
+    mentions = spark.createDataFrame(data, "file string, line_no int, id string, type string, start int, end int")
+    relations = spark.createDataFrame(
+        [("F", 0, 0, "AND", "T1", "T2")], "file string, ann_line int, perm_no int, rel_type string, arg1 string, arg2 string"
+    )
+    got = sorted((r.line_no, r.e1_id, r.label) for r in pairs.label_pairs(mentions, relations).collect())
+    assert got == [(n, t, "AND" if t == "T1" else "NO_RELATION") for n in (0, 1) for t in ("T1", "T2")]
+
+
 def test_overlaps(spark):
     data = [(0, 5, 5, 8, "touch"), (0, 5, 4, 8, "over"), (0, 9, 2, 3, "nested"), (2, 2, 0, 5, "empty")]
     df = spark.createDataFrame(data, "e1_start int, e1_end int, e2_start int, e2_end int, n string")

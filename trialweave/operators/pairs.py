@@ -93,10 +93,10 @@ def with_outgoing(mentions: DataFrame, relations: DataFrame, accepted: Iterable[
     """
     out = (
         gold_in_lines(mentions, relations, accepted)
-        .groupBy("file", F.col("arg1").alias("id"))
+        .groupBy("file", "line_no", F.col("arg1").alias("id"))
         .agg(F.map_from_entries(F.collect_list(F.struct("arg2", "label"))).alias("outgoing"))
     )
-    return mentions.join(out, ["file", "id"], "left")
+    return mentions.join(out, ["file", "line_no", "id"], "left")
 
 
 def label_pairs(
