@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -50,6 +52,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_TABLES: list[tuple[object, str]] = []
+
+
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` as Parquet below the shared folder and read it back.
+
+    The rows are fixed on shared storage, later readers prune columns and push filters
+    down, and a lost executor costs only its own tasks. The files go at the end of the
+    session. An empty result keeps its schema.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    if not _TABLES:
+        atexit.register(drop_tables)
+    _TABLES.append((spark.sparkContext._jvm, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables() -> None:
+    """Delete what `write_table` wrote; DataFrames over those tables end with it."""
+    while _TABLES:
+        jvm, path = _TABLES.pop()
+        with contextlib.suppress(Exception):  # the session's JVM may be gone
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows and their partitions are fixed on shared storage."""
     shared_dir(df.sparkSession)
