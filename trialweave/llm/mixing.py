@@ -8,8 +8,7 @@ sources run together as joins and grouped sums over the histogram (source, size,
 kept inside a bracket that every step narrows.
 
 Rates become copies by error diffusion over the cumulative rates of a source's sizes, and a
-few passes then move single copies until the words left over are below the smallest step
-that any document of the source can make. Equal sizes of a source share their copies in
+few passes then move copies of the size that leaves the fewest words over, while that helps. Equal sizes of a source share their copies in
 hash order, ranked inside slices of about SLICE_ROWS rows, so a source or a size that holds
 a third of the table is spread over many tasks.
 
@@ -163,8 +162,8 @@ def whole_copies(rated: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(_source, _size, _n, _rate, _target) -> _source, _size, _n, _copies, written.
 
     Copies of a size are the steps of the rounded running sum of rates, from the longest
-    size down; the words still missing or in excess then go, pass by pass, to the longest
-    size that they cover.
+    size down; the words still missing or in excess then go, pass by pass, to the size whose
+    copies come closest to them.
     """
     down = Window.partitionBy("_source").orderBy(F.desc("_size"))
     want = F.col("_n") * F.col("_rate")
@@ -178,25 +177,23 @@ def whole_copies(rated: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     for _ in range(REPAIR_PASSES):
         left = given.groupBy("_source").agg((F.max("_target") - F.sum(F.col("_copies") * F.col("_size"))).alias("_left"))
         room = F.when(F.col("_left") > 0, F.col("_n") * max_copies - F.col("_copies")).otherwise(F.col("_copies"))
-        # A last copy may overshoot by less than what it mends.
-        fits = (F.col("_size") > 0) & (F.col("_size") < 2 * F.abs("_left")) & (F.col("_room") > 0)
+        gap = F.abs("_left")
+        moved = F.least(F.greatest(F.floor(gap / F.col("_size")), F.lit(1)), F.col("_room"))
         choice = (
             given.alias("g")
             .join(left.alias("l"), F.col("g._source").eqNullSafe(F.col("l._source")))
             .select("g.*", "l._left")
             .withColumn("_room", room)
-            .where(fits)
+            .where("_size > 0 AND _room > 0")
+            .withColumn("_moved", moved.cast("bigint"))
+            .withColumn("_rest", F.abs(gap - F.col("_moved") * F.col("_size")))
+            .where(F.col("_rest") < gap)
             .groupBy("_source")
-            .agg(F.max_by(F.struct("_size", "_room", "_left"), "_size").alias("_pick"))
+            .agg(F.min_by(F.struct("_size", "_moved", "_left"), F.struct("_rest", "_size")).alias("_pick"))
             .select(
                 F.col("_source").alias("_s"),
                 F.col("_pick._size").alias("_z"),
-                (
-                    F.signum("_pick._left")
-                    * F.least(F.greatest(F.floor(F.abs("_pick._left") / F.col("_pick._size")), F.lit(1)), F.col("_pick._room"))
-                )
-                .cast("bigint")
-                .alias("_step"),
+                (F.signum("_pick._left") * F.col("_pick._moved")).cast("bigint").alias("_step"),
             )
         )
         choice = write_table(choice, "mix-choice")
