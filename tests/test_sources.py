@@ -24,6 +24,22 @@ def test_studies_csv(spark, tmp_path, rows):
         studies.read_studies(spark, str(tmp_path / "none.csv"))
 
 
+def test_study_rows_follow_the_files(spark, tmp_path, rows):
+    """The largest file is packed first by Spark; numbers follow the paths."""
+    sizes = {"a": 2, "b": 5000, "c": 50}
+    for name, n in sizes.items():
+        body = "".join(f'{name}{i},"* {i}\n* x"\n' for i in range(n))
+        (tmp_path / f"{name}.csv").write_text("StudyNCTid,EligibilityCriteria\n" + body)
+    got = rows(studies.read_studies(spark, str(tmp_path)).select("study_row", "StudyNCTid"), "study_row")
+    assert got == list(enumerate(f"{name}{i}" for name, n in sizes.items() for i in range(n)))
+
+
+def test_corpus_folder_partitioned_by_key(spark, tmp_path, rows):
+    df = spark.createDataFrame([("N1_inc", "a\nb"), ("N2", "c")], "file string, text string")
+    df.write.partitionBy("file").text(str(tmp_path / "p"))
+    assert rows(corpus.read_corpus(spark, str(tmp_path / "p")), "file") == [("N1_inc", "a\nb\n"), ("N2", "c\n")]
+
+
 def test_corpus_folder(spark, tmp_path, rows):
     (tmp_path / "N1_inc.txt").write_bytes("a é\r\nb\rc".encode())
     (tmp_path / "N2_exc.txt").write_text("alone\n")
@@ -61,6 +77,26 @@ def test_csv_entity_literals_with_single_quotes(spark, tmp_path):
     assert r.studyNCTid == "N1" and tuple(r.entities[0]) == ("Drug", "ab", 0, 2, 0.5)
 
 
+def entity(word, score=0.5):
+    return {"entity_group": "Drug", "word": word, "start": 0, "end": 2, "confidence_score": score}
+
+
+@pytest.mark.parametrize("word", ["a\xa0b", "it's", 'say "x"', "None", "True story", "a\\x41", "tab\t", "\u2028", "both ' and \""])
+def test_python_literals_keep_their_values(spark, word):
+    cells = [(repr([entity(word)]),), (json.dumps([entity(word)]),)]
+    df = spark.createDataFrame(cells, "c string").select(studies.parse_entities(F.col("c")).alias("e"))
+    assert [r.e[0].word for r in df.collect()] == [word, word]
+
+
+def test_empty_and_broken_entity_cells(spark):
+    parse = lambda *cells: [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(studies.parse_entities(F.col("c"))).collect()]
+    assert parse(repr([entity("a", None)]))[0][0].confidence_score is None
+    assert parse("", None, "[]") == [None, None, []]
+    for broken in ("[{'word': }]", "not a list", "[{'word': 'a'"):
+        with pytest.raises(Exception, match="(?i)entities|malformed"):
+            parse(broken)
+
+
 def test_splits_prune_to_their_folder(spark, tmp_path):
     df = spark.createDataFrame([(i, "x", s) for i, s in enumerate(["train"] * 8 + ["test", "validation"])], "k int, label string, split string")
     path = str(tmp_path / "d")

@@ -9,10 +9,11 @@ from trialweave.functions.text import strip, text_lines, universal_newlines
 
 
 def _whole_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}").select(
-        F.regexp_replace(F.col("_metadata.file_name"), f"\\{extension}$", "").alias("file"),
-        universal_newlines(F.col("value")).alias("value"),
-    )
+    """The key is the file name; in a folder partitioned by `file` (one key per sub-folder) it is that."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}")
+    name = F.regexp_replace(F.col("_metadata.file_name"), f"\\{extension}$", "")
+    key = F.col("file").cast("string") if "file" in files.columns else name
+    return files.select(key.alias("file"), universal_newlines(F.col("value")).alias("value"))
 
 
 def read_corpus(spark: SparkSession, path: str, extension: str = ".txt") -> DataFrame:
