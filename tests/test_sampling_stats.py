@@ -19,11 +19,12 @@ def test_hash_is_the_published_value(spark):
     assert df.select(hash_u("x")).first()[0] == 214005177
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_split_is_exact_and_equals_a_global_ranking(labelled, digits):
+@pytest.mark.parametrize("digits, bound", [(1, 100_000), (3, 100_000), (1, 10), (1, 1), (2, 0)])
+def test_split_is_exact_and_equals_a_global_ranking(labelled, digits, bound):
+    """With a small bound the bucket of a cut is refined by further digits until it is small."""
     import hashlib
 
-    got = {r.k: r.split for r in sampling.stratified_split(labelled, "label", ["k"], 42, digits).collect()}
+    got = {r.k: r.split for r in sampling.stratified_split(labelled, "label", ["k"], 42, digits, bound).collect()}
     assert len(got) == sum(SIZES.values())
     for label, n in SIZES.items():
         keys = sorted((hashlib.md5(f"{label}{i}|42".encode()).hexdigest(), f"{label}{i}") for i in range(n))

@@ -112,6 +112,10 @@ def test_labels_last_line_wins(spark):
         ("F0", 1, 3, "Has_value", "T0", "T1"),
         ("F0", 9, 0, "multi", "T0", "T1"),
         ("F0", 2, 0, "NO_RELATION", "T1", "T0"),
+        ("F0", 3, 0, "AND", "T1", "T2"),
+        ("F0", 4, 0, "NO_RELATION", "T1", "T2"),
+        ("F0", 3, 0, "NO_RELATION", "T2", "T1"),
+        ("F0", 4, 0, "OR", "T2", "T1"),
         ("F0", 2, 0, "AND", "T0", "T9"),
         ("F0", 2, 0, "AND", "T2", "T77"),
         ("F1", 2, 0, "AND", "T2", "T0"),
@@ -120,7 +124,8 @@ def test_labels_last_line_wins(spark):
     got = {(r.e1_id, r.e2_id): r.label for r in pairs.label_pairs(mentions, relations).collect()}
     assert len(got) == 6
     assert got[("T0", "T1")] == "Has_value"
-    assert all(v == "NO_RELATION" for k, v in got.items() if k != ("T0", "T1"))
+    assert got[("T2", "T1")] == "OR"
+    assert all(v == "NO_RELATION" for k, v in got.items() if k not in (("T0", "T1"), ("T2", "T1")))
 
 
 def test_labels_of_mentions_that_lie_in_two_lines(spark):

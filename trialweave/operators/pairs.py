@@ -58,12 +58,16 @@ def drop_overlaps(pairs: DataFrame) -> DataFrame:
 
 
 def gold_labels(relations: DataFrame, accepted: Iterable[str] = RELATION_TYPES) -> DataFrame:
-    """The accepted relation of each (file, arg1, arg2); the last line wins."""
+    """The accepted relation of each (file, arg1, arg2); the last line wins.
+
+    An annotated NO_RELATION is accepted, so it can be the last line; the pair is negative then.
+    """
     return (
-        filter_relation_types(relations, accepted)
+        filter_relation_types(relations, [*accepted, NO_RELATION])
         .groupBy("file", "arg1", "arg2")
         .agg(F.max(F.struct("ann_line", "perm_no", "rel_type")).alias("m"))
         .select("file", "arg1", "arg2", F.col("m.rel_type").alias("label"))
+        .where(F.col("label") != NO_RELATION)
     )
 
 

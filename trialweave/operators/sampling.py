@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from trialweave.functions.text import hash_u, key_digest
 from trialweave.operators.annotations import NO_RELATION
 from trialweave.operators.skew import MAX_SMALL_ROWS, join_small
+from trialweave.session import write_table
 
 UNIT = float(1 << 32)
 
@@ -52,58 +53,69 @@ def validation_quota(rest: Column) -> Column:
     return F.floor((2 * rest + 9) / 18)
 
 
+MAX_RANKED = 100_000
+
+
 def stratified_split(
-    df: DataFrame, label: str | Column, key: Sequence[str], seed: int = 42, bucket_digits: int = 3
+    df: DataFrame,
+    label: str | Column,
+    key: Sequence[str],
+    seed: int = 42,
+    bucket_digits: int = 3,
+    max_ranked: int = MAX_RANKED,
 ) -> DataFrame:
     """add `split`, 80/10/10 within each label, exact to the row.
 
     Rows of a label are ordered by md5(key, seed); the first tenth is test, the next ninth
-    validation. Only the two cut points per label are searched: bucket counts (leading hash
-    digits) find the bucket of each cut, and just the rows of those buckets are ranked. The
-    rows themselves are then compared with their label's cut points, without a shuffle.
+    validation. Only the two cut points per label are searched: counts by leading hash
+    digits find the bucket of each cut. A bucket of more than `max_ranked` rows is counted
+    again by further digits until it is small; just its rows are then ranked. The rows
+    themselves are compared with their label's cut points, without a shuffle.
     """
     digest = key_digest(*key, seed)
     stratum = F.col(label) if isinstance(label, str) else label
     ordered = df.select(
         stratum.alias("_label"), F.concat_ws("|", digest, *[F.col(k).cast("string") for k in key]).alias("_rank_key")
-    ).withColumn("_bucket", F.substring("_rank_key", 1, bucket_digits))
-
-    counts = ordered.groupBy("_label", "_bucket").agg(F.count("*").alias("n"))
-    label_all = Window.partitionBy("_label")
-    upto = label_all.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = (
-        counts.withColumn("total", F.sum("n").over(label_all))
-        .withColumn("upto", F.sum("n").over(upto))
-        .withColumn("n_test", test_quota(F.col("total")))
-        .withColumn("n_held", F.col("n_test") + validation_quota(F.col("total") - F.col("n_test")))
-    )
-    # One row per cut: the bucket that holds the quota-th row and the rank inside it.
-    cuts = sized.select(
-        "_label",
-        "_bucket",
-        F.explode(
-            F.array(
-                F.struct(F.lit("test").alias("cut"), F.col("n_test").alias("quota")),
-                F.struct(F.lit("held").alias("cut"), F.col("n_held").alias("quota")),
-            )
-        ).alias("c"),
-        (F.col("upto") - F.col("n")).alias("before"),
-        "upto",
-    ).where("c.quota > before AND c.quota <= upto").select(
-        "_label", "_bucket", "c.cut", (F.col("c.quota") - F.col("before")).alias("rank")
     )
-    in_cut_buckets = join_small(ordered, cuts.groupBy("_label", "_bucket").agg(F.collect_list(F.struct("cut", "rank")).alias("cuts")), ["_label", "_bucket"])
-    ranked = in_cut_buckets.withColumn(
-        "n", F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_rank_key"))
+    prefix = lambda digits: F.substring("_rank_key", 1, digits)
+    counts = ordered.groupBy("_label", prefix(bucket_digits).alias("_bucket")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("_label")
+    totals = counts.withColumn("total", F.sum("n").over(whole)).withColumn("n_test", test_quota(F.col("total")))
+    quotas = F.array(
+        F.struct(F.lit("test").alias("cut"), F.col("n_test").alias("quota")),
+        F.struct(F.lit("held").alias("cut"), (F.col("n_test") + validation_quota(F.col("total") - F.col("n_test"))).alias("quota")),
     )
-
-    def cut_point(name: str) -> Column:
-        hit = F.exists("cuts", lambda c: (c["cut"] == name) & (c["rank"] == F.col("n")))
-        return F.max(F.when(hit, F.col("_rank_key"))).alias(f"_{name}_cut")
-
-    points = ranked.groupBy("_label").agg(cut_point("test"), cut_point("held"))
+    cuts = _locate(totals.select("_label", "_bucket", "n", F.explode(quotas).alias("c")).select("*", "c.*"), ["_label", "cut"])
+    found, digits = [], bucket_digits
+    while True:
+        # Two rows per label: the bucket that holds the quota-th row, its size and the rank inside it.
+        cuts = write_table(cuts, "split-cuts")
+        if digits >= DIGEST_DIGITS:
+            found.append((cuts, digits))
+            break
+        found.append((cuts.where(F.col("n") <= max_ranked), digits))
+        large = cuts.where(F.col("n") > max_ranked)
+        if not large.limit(1).count():
+            break
+        finer = min(digits + bucket_digits, DIGEST_DIGITS)
+        rows = join_small(
+            ordered.withColumn("_bucket", prefix(digits)),
+            large.select("_label", "_bucket", "cut", F.col("rank").alias("quota")),
+            ["_label", "_bucket"],
+        )
+        counts = rows.groupBy("_label", "cut", "quota", prefix(finer).alias("_bucket")).agg(F.count("*").alias("n"))
+        cuts, digits = _locate(counts, ["_label", "cut"]), finer
+    points = None
+    for part, length in found:
+        buckets = part.groupBy("_label", "_bucket").agg(F.collect_list(F.struct("cut", "rank")).alias("cuts"))
+        inside = join_small(ordered.withColumn("_bucket", prefix(length)), buckets, ["_label", "_bucket"])
+        ranked = inside.withColumn("n", F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_rank_key")))
+        hits = ranked.where(F.exists("cuts", lambda c: c["rank"] == F.col("n"))).select("_label", "_rank_key", "n", F.explode("cuts").alias("c"))
+        hits = hits.where("c.rank = n").select("_label", "_rank_key", "c.cut")
+        points = hits if points is None else points.unionByName(hits)
+    cut_point = lambda name: F.max(F.when(F.col("cut") == name, F.col("_rank_key"))).alias(f"_{name}_cut")
     return (
-        join_small(df.withColumn("_label", stratum), points, ["_label"], "left")
+        join_small(df.withColumn("_label", stratum), points.groupBy("_label").agg(cut_point("test"), cut_point("held")), ["_label"], "left")
         .withColumn("_rank_key", F.concat_ws("|", digest, *[F.col(k).cast("string") for k in key]))
         .withColumn(
             "split",
@@ -115,6 +127,19 @@ def stratified_split(
     )
 
 
+DIGEST_DIGITS = 32
+
+
+def _locate(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Bucket counts with a quota per group -> the bucket of the quota-th row and its rank there."""
+    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        counts.withColumn("upto", F.sum("n").over(upto))
+        .where("quota > upto - n AND quota <= upto")
+        .select("_label", "_bucket", "cut", "n", (F.col("quota") - F.col("upto") + F.col("n")).alias("rank"))
+    )
+
+
 def multilabel_split(df: DataFrame, key: Sequence[str], labels: str = "labels", seed: int = 42) -> DataFrame:
     """split rows that carry several label ids; adds `stratum` and `split`.
 

@@ -96,7 +96,7 @@ def _pick(names: tuple[str, ...], i: Column) -> Column:
 
 
 def _annotation(m: Column, i: Column, z: Column) -> Column:
-    """The annotation lines of mention i: the mention, its relation to the next one, a 3-ary set."""
+    """The annotation lines of mention i: the mention, its relation to the next one, a 3-ary set, a negation."""
     tid = lambda k: F.concat(F.lit("T"), k + 1)
     second = (F.length(z["surface"]) == 2) & z["next"].isNotNull()
     end = z["start"] + F.length(z["surface"])
@@ -121,7 +121,12 @@ def _annotation(m: Column, i: Column, z: Column) -> Column:
             F.lit(" "), tid(i), F.lit(" "), tid(i + 1), F.lit(" "), tid(i + 2),
         ),
     )
-    return F.concat_ws("\n", entity, relation, nary)
+    # Behind the relation it overrides.
+    negated = F.when(
+        (z["code"] < after["code"]) & (z["code"] == 1),
+        F.concat(F.lit("R"), i + 1, F.lit("\tNO_RELATION Arg1:"), tid(i), F.lit(" Arg2:"), tid(i + 1), F.lit("\t")),
+    )
+    return F.concat_ws("\n", entity, relation, nary, negated)
 
 
 def _ann_text(text: Column, lang: Column) -> Column:
