@@ -43,8 +43,26 @@ HEADLINE = (
     "lexicon_tagger",
     "tag_entities",
     "score_relations",
+    "nest_relations",
+    "extraction_full",
+    "encode_tokens",
+    "train_tagger",
+    "train_relation_model",
+    "tune",
+)
+INPUTS = (
+    "documents",
+    "line_mentions",
+    "relations",
+    "line_entities",
+    "labelled_pairs",
+    "re_label_map",
+    "split_pairs",
+    "tagged_lines",
+    "tagger_rows",
+    "sentences",
+    "entity_sentences",
 )
-INPUTS = ("documents", "line_mentions", "relations", "line_entities", "labelled_pairs", "tagged_lines", "sentences")
 
 
 def timed(action) -> float:

@@ -54,7 +54,23 @@ def test_extraction_modes(sentences):
 
 
 def test_python_runs_once_and_only_on_the_text(sentences):
-    plan = run_extraction(sentences, "ner+re", make_tagger, make_scorer, LABELS)._jdf.queryExecution().executedPlan().toString()
+    from pyspark.sql import SparkSession
+
+    calls = SparkSession.getActiveSession().sparkContext.accumulator(0)
+
+    def counted():
+        tag = make_tagger()
+
+        def run(texts):
+            calls.add(len(texts))
+            return tag(texts)
+
+        return run
+
+    full = run_extraction(sentences, "ner+re", counted, make_scorer, LABELS)
+    assert full.count() == 3 and calls.value == 3
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [tag" not in plan
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan.count("ArrowEvalPython [score") == 1
 
@@ -102,11 +118,15 @@ def documents(spark):
     return spark.createDataFrame([(f"D{i}_inc", TEXT, ann(i)) for i in range(60)], "file string, text string, ann_text string")
 
 
-def test_tagger_training_learns_the_rule(documents):
-    data, label_map = datasets.tagger_dataset(documents, max_len=32)
+LEARNERS = [("counts", {}), ("logistic", {"num_features": 1 << 8, "max_iter": 30})]
+
+
+@pytest.mark.parametrize("learner, params", LEARNERS)
+def test_tagger_training_learns_the_rule(documents, learner, params):
+    data, label_map = datasets.tagger_dataset(documents)
     key = datasets.LINE_KEY
     assert data.count() == 120
-    model = models.train_tagger(data.where("split = 'train'"), key, 1 << 8, 30)
+    model = models.train_tagger(data.where("split = 'train'"), key, learner, **params)
     report = {(r.level, r.label): r for r in models.evaluate_tagger(model, data.where("split = 'test'"), label_map, key).collect()}
     assert report[("span", "overall")].f1 > 0.95 and report[("token", "overall")].accuracy > 0.95
     assert ("span", "Drug") in report
@@ -127,5 +147,32 @@ def test_relation_training_learns_the_rule(spark, documents):
     assert f1[1] >= f1[0]
     overall, report, matrix = models.evaluate_relations(best, data.where("split = 'test'"), label_map)
     assert overall.first().f1 > 0.9 and report.count() == 6 and matrix.count() == 9
-    plain = models.train_relation_model(train, label_map, num_features=1 << 8, max_iter=30)
-    assert models.predict_relations(plain, train, label_map).where("pred = label").count() > 0.9 * train.count()
+    for learner, params in LEARNERS:
+        plain = models.train_relation_model(train, label_map, learner, **params)
+        assert models.predict_relations(plain, train, label_map).where("pred = label").count() > 0.9 * train.count()
+    best, trials = models.tune_relations(train, data.where("split = 'validation'"), label_map, (1.0, 1e6))
+    f1 = [r.f1 for r in trials.orderBy("trial").collect()]
+    assert best.alpha == 1.0 and f1[0] > f1[1]
+
+
+def test_count_model_is_naive_bayes(spark):
+    from math import log
+
+    from trialweave.operators.count_models import fit_counts, label_choices, predict_counts
+
+    train = spark.createDataFrame([(["a", "a", "b"], "x", 2.0), (["b"], "y", 1.0), (["c", "b"], "y", 1.0)], "feats array<string>, label string, w double")
+    model = fit_counts(train, weight="w", alpha=0.5)
+    assert model.vocabulary == 3
+    test = spark.createDataFrame([(1, ["a", "zz"]), (2, ["b", "c"]), (3, [])], "k int, feats array<string>")
+
+    def score(label, feats, alpha):
+        n, total, counts = {"x": (2, 6, {"a": 4, "b": 2}), "y": (2, 3, {"b": 2, "c": 1})}[label]
+        return log(n / 4) + sum(log((counts.get(f, 0) + alpha) / (total + 3 * alpha)) for f in feats)
+
+    for options in ({}, {"max_broadcast": 0, "block_rows": 1, "fraction": 1.0}):
+        got = {r.k: r for r in label_choices(model, test, ["k"], (0.5, 4.0), **options).collect()}
+        for k, feats in ((1, ["a", "zz"]), (2, ["b", "c"]), (3, [])):
+            for i, alpha in enumerate((0.5, 4.0)):
+                want = min("xy", key=lambda label: (-round(score(label, feats, alpha), 6), label))
+                assert got[k].choices[i].label == want
+    assert {r.k: r.pred for r in predict_counts(model, test, ["k"]).collect()}[3] == "x"

@@ -16,7 +16,7 @@ def test_tokens_cover_the_text(spark):
 
 def test_truncation_padding_and_mask(spark):
     df = spark.createDataFrame([(" a b c d e f",), ("a",), ("",)], "text string")
-    got = tokens.tokenize_offsets(df, max_len=5).collect()
+    got = tokens.tokenize_offsets(df, max_len=5, truncate=True).collect()
     assert [r.tokens for r in got] == [
         ["[CLS]", "a", "b", "c", "[SEP]"],
         ["[CLS]", "a", "[SEP]", "[PAD]", "[PAD]"],
@@ -27,9 +27,28 @@ def test_truncation_padding_and_mask(spark):
     assert [len(r.tokens) for r in tokens.tokenize_offsets(df, max_len=None).collect()] == [8, 3, 2]
 
 
+def test_windows_lose_no_token(spark):
+    df = spark.createDataFrame([(0, " ".join("abcdefgh")), (1, "a b c"), (2, "")], "k int, text string")
+    got = tokens.tokenize_offsets(df, max_len=5).orderBy("k", "window").collect()
+    assert [(r.k, r.window, r.tokens) for r in got] == [
+        (0, 0, ["[CLS]", "a", "b", "c", "[SEP]"]),
+        (0, 1, ["[CLS]", "d", "e", "f", "[SEP]"]),
+        (0, 2, ["[CLS]", "g", "h", "[SEP]", "[PAD]"]),
+        (1, 0, ["[CLS]", "a", "b", "c", "[SEP]"]),
+        (2, 0, ["[CLS]", "[SEP]", "[PAD]", "[PAD]", "[PAD]"]),
+    ]
+    assert got[2].offsets == [(0, 0), (12, 13), (14, 15), (0, 0), (0, 0)] and got[2].attention_mask == [1, 1, 1, 1, 0]
+    plain = tokens.tokenize_offsets(df, max_len=5, pad=False).where("k = 0 AND window = 2").first()
+    assert plain.tokens == ["[CLS]", "g", "h", "[SEP]"]
+    # Tags are set before the cut, so an entity goes on in the next window.
+    whole = tokens.tokenize_offsets(df.where("k = 0")).withColumn("entities", F.array(F.struct(F.lit("T").alias("id"), F.lit("A").alias("type"), F.lit(2).alias("start"), F.lit(9).alias("end"), F.lit("").alias("text"))))
+    cut = tokens.token_windows(tokens.align_bio(whole), 5, ("tokens", "offsets", "attention_mask", "tags")).orderBy("window").collect()
+    assert [r.tags for r in cut] == [["O", "O", "B-A", "I-A", "O"], ["O", "I-A", "I-A", "O", "O"], ["O"] * 5]
+
+
 def aligned(spark, text, entities, **options):
     df = spark.createDataFrame([(text, [("T", t, s, e, "") for t, s, e in entities])], f"text string, entities {ENT}")
-    return tokens.align_bio(tokens.tokenize_offsets(df, max_len=None), **options).first().tags
+    return tokens.align_bio(tokens.tokenize_offsets(df), **options).first().tags
 
 
 def test_align_bio(spark):

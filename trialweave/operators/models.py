@@ -8,6 +8,7 @@ Python.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,13 +22,14 @@ from trialweave.functions.markers import inject_markers
 from trialweave.functions.tags import argmax, softmax_confidence
 from trialweave.functions.text import let
 from trialweave.operators.annotations import NO_RELATION
-from trialweave.operators.labels import class_weights, decode_tags, encode_labels
+from trialweave.operators.count_models import CountModel, fit_counts, label_choices, predict_counts
+from trialweave.operators.labels import class_weights, encode_labels
 from trialweave.operators.metrics import classification_report, confusion_matrix, span_metrics, token_metrics, weighted_metrics
 from trialweave.operators.pairs import nested_pairs, overlaps
 from trialweave.operators.skew import join_on_hot_key, join_small
 from trialweave.operators.spans import nest_relations
 from trialweave.operators.tokens import located_tokens, text_pieces, word_tokens
-from trialweave.session import cut_lineage
+from trialweave.session import write_table
 from trialweave.sources.studies import ENTITIES
 
 # A batch of texts to one list of mention dicts, or of label scores, per text.
@@ -71,26 +73,11 @@ def build_lexicon(mentions: DataFrame, surface: str = "text", kind: str = "type"
     return best.withColumn("n_tokens", F.size(word_tokens(F.col("surface")))).where("n_tokens > 0")
 
 
-MAX_FIRST_TOKENS = 2_000
-
-
 def folded(c: Column) -> Column:
     """Lower case, with one form of sigma, so that a token folds alike alone and inside a text."""
     return F.translate(F.lower(c), "ς", "σ")
 
 
-def first_tokens(lexicon: DataFrame) -> dict[int, list[str]]:
-    """Per entry length the first tokens of the entries, for the lengths that have few."""
-    first = folded(word_tokens(F.col("surface"), 1)[0]["token"])
-    pairs = lexicon.select("n_tokens", first.alias("first")).distinct()
-    few = pairs.groupBy("n_tokens").agg(F.count("*").alias("n")).where(F.col("n") <= MAX_FIRST_TOKENS)
-    found: dict[int, list[str]] = {}
-    # At most MAX_FIRST_TOKENS rows for each of the few lengths.
-    for r in pairs.join(few.select("n_tokens"), "n_tokens").collect():
-        found.setdefault(r["n_tokens"], []).append(r["first"])
-    return found
-
-
 def lexicon_tagger(
     sentences: DataFrame,
     lexicon: DataFrame,
@@ -101,49 +88,61 @@ def lexicon_tagger(
 ) -> DataFrame:
     """H2: add `entities` by dictionary lookup, leftmost and longest first, without overlaps.
 
-    Token n-grams of the lengths that occur are joined with the lexicon, which is broadcast
-    while it is counted to fit. Lengths with few entries make n-grams only where one of
-    their first tokens stands. Beyond that frequent n-grams are hot keys, found on a sample
-    of the sentences. The greedy choice runs inside a sentence.
+    Tokens are joined with the first tokens of the entries and the entry lengths that begin
+    with them; only those n-grams are made, and joined with the lexicon by surface. Both
+    tables are broadcast while they are counted to fit; beyond that frequent tokens and
+    n-grams are hot keys, found on a sample of the sentences. The greedy choice runs inside
+    a sentence.
     """
-    lexicon = cut_lineage(lexicon)
-    lengths = sorted(r[0] for r in lexicon.select("n_tokens").distinct().collect())
-    firsts = first_tokens(lexicon)
+    lexicon = write_table(lexicon, "lexicon")
+    first = folded(word_tokens(F.col("surface"))[0]["token"])
+    heads = (
+        lexicon.select(first.alias("first"), "n_tokens").groupBy("first").agg(F.sort_array(F.collect_set("n_tokens")).alias("lengths"))
+    )
+
+    def tokens_of(rows: DataFrame) -> DataFrame:
+        folds = F.transform(word_tokens(F.col(text)), lambda t: folded(t["token"]))
+        return rows.select(*key, F.posexplode(folds).alias("pos", "first"))
+
+    some = sentences.sample(fraction, seed=1)
+    starts = (
+        join_on_hot_key(tokens_of(sentences), heads, ["first"], [*key, "pos"], "inner", tokens_of(some), fraction, **join_options)
+        .groupBy(*key)
+        .agg(F.collect_list(F.struct("pos", "lengths")).alias("_starts"))
+    )
 
     def grams_of(rows: DataFrame) -> DataFrame:
+        def gram(pieces: Column, t: Column, pos: Column, n: Column) -> Column:
+            return let(
+                F.struct(t[pos].alias("a"), t[pos + n - 1].alias("b")),
+                lambda ends: F.struct(
+                    ends["a"]["start"].alias("start"),
+                    ends["b"]["end"].alias("end"),
+                    F.array_join(F.slice(pieces, ends["a"]["at"] + 1, ends["b"]["at"] - ends["a"]["at"] + 1), "").alias("word"),
+                ),
+            )
+
         def grams(pieces: Column, t: Column) -> Column:
-            def of_length(n: int) -> Column:
-                heads = F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0)))
-                heads = F.transform(heads, lambda x, i: F.struct(x["token"], x["start"], x["at"], i.alias("i")))
-                if n in firsts:
-                    heads = F.filter(heads, lambda x: folded(x["token"]).isin(firsts[n]))
-                return F.transform(
-                    heads,
-                    lambda x: let(
-                        t[x["i"] + (n - 1)],
-                        lambda last: F.struct(
-                            x["start"].alias("start"),
-                            last["end"].alias("end"),
-                            F.array_join(F.slice(pieces, x["at"] + 1, last["at"] - x["at"] + 1), "").alias("word"),
-                        ),
+            return F.flatten(
+                F.transform(
+                    "_starts",
+                    lambda s: F.transform(
+                        F.filter(s["lengths"], lambda n: s["pos"] + n <= F.size(t)), lambda n: gram(pieces, t, s["pos"], n)
                     ),
                 )
-
-            none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-            return F.concat(none, *[of_length(n) for n in lengths])
+            )
 
         spans = let(text_pieces(F.col(text)), lambda p: let(located_tokens(p), lambda t: grams(p, t)))
-        exploded = rows.select(*key, F.explode(spans).alias("z"))
+        exploded = rows.select(*key, text).join(starts, list(key)).select(*key, F.explode(spans).alias("z"))
         return exploded.select(*key, "z.start", "z.end", "z.word", F.lower("z.word").alias("surface"))
 
-    sample = grams_of(sentences.sample(fraction, seed=1))
     hits = join_on_hot_key(
         grams_of(sentences),
         lexicon.select("surface", "type"),
         ["surface"],
         [*key, "start", "end"],
         "inner",
-        sample,
+        grams_of(some),
         fraction,
         **join_options,
     )
@@ -243,44 +242,93 @@ def token_rows(samples: DataFrame, key: Sequence[str], labels: str | None = "lab
     )
     out = [*key, "pos", features.alias("feats")]
     if labels:
-        out.append(F.col("z.label").cast("double").alias("label"))
+        out.append(F.col("z.label").alias("label"))
     return rows.select(*out)
 
 
+LEARNERS = ("counts", "logistic")
+
+
 def train_tagger(
-    train: DataFrame,
-    key: Sequence[str],
-    num_features: int = 1 << 12,
-    max_iter: int = 20,
-    reg_param: float = 1e-4,
-) -> PipelineModel:
-    """H5: multinomial token classifier over window features; `labels` holds the BIO ids."""
-    rows = token_rows(train, key)
+    train: DataFrame, key: Sequence[str], learner: str = "counts", **params: float
+) -> CountModel | PipelineModel:
+    """H5: token classifier over window features.
+
+    `counts` learns naive Bayes over the tag names in `tags` (params: alpha); `logistic` a
+    multinomial regression over the BIO ids in `labels` (params: num_features, max_iter,
+    reg_param).
+    """
+    if learner not in LEARNERS:
+        raise ValueError(f"unknown learner {learner!r}")
+    if learner == "counts":
+        return fit_counts(write_table(token_rows(train, key, "tags").select("feats", "label"), "token-rows"), **params)
+    rows = token_rows(train, key).withColumn("label", F.col("label").cast("double"))
+    options = {"num_features": 1 << 12, "max_iter": 20, "reg_param": 1e-4} | params
     return Pipeline(
         stages=[
-            HashingTF(inputCol="feats", outputCol="features", numFeatures=num_features),
-            LogisticRegression(maxIter=max_iter, regParam=reg_param, family="multinomial"),
+            HashingTF(inputCol="feats", outputCol="features", numFeatures=options["num_features"]),
+            LogisticRegression(maxIter=options["max_iter"], regParam=options["reg_param"], family="multinomial"),
         ]
-    ).fit(cut_lineage(rows.select("feats", "label")))
+    ).fit(write_table(rows.select("feats", "label"), "token-rows"))
 
 
-def predict_tags(model: PipelineModel, samples: DataFrame, label_map: DataFrame, key: Sequence[str]) -> DataFrame:
+def predict_tags(
+    model: CountModel | PipelineModel, samples: DataFrame, label_map: DataFrame, key: Sequence[str]
+) -> DataFrame:
     """Add `pred_tags` (array of tag names, O on specials and pads) and `scores` (winning probability)."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(token_rows(samples, key, labels=None)).select(
-        *key, "pos", F.col("prediction").cast("int").alias("id"), F.array_max(vector_to_array("probability")).alias("score")
-    )
+    rows = token_rows(samples, key, labels=None)
+    if isinstance(model, CountModel):
+        scored = predict_counts(model, rows, [*key, "pos"])
+    else:
+        named = label_map.select(F.col("id").alias("_id"), F.col("label").alias("pred"))
+        scored = join_small(
+            model.transform(rows).select(
+                *key, "pos", F.col("prediction").cast("int").alias("_id"), F.array_max(vector_to_array("probability")).alias("score")
+            ),
+            named,
+            ["_id"],
+            "left",
+        )
     by_sentence = scored.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("id", "score")))).alias("_p")
+        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("pred", "score")))).alias("_p")
     )
     at = lambda i: F.try_element_at("_p", i)
-    joined = (
+    return (
         samples.join(by_sentence, list(key), "left")
-        .withColumn("_ids", F.transform("tokens", lambda _, i: F.coalesce(at(i)["id"], F.lit(0))))
+        .withColumn("pred_tags", F.transform("tokens", lambda _, i: F.coalesce(at(i)["pred"], F.lit("O"))))
         .withColumn("scores", F.transform("tokens", lambda _, i: F.coalesce(at(i)["score"], F.lit(1.0))))
+        .drop("_p")
+    )
+
+
+def tune_tagger(
+    train: DataFrame, validation: DataFrame, key: Sequence[str], alphas: Sequence[float]
+) -> tuple[CountModel, DataFrame]:
+    """H7 for taggers: the smoothing with the best weighted token F1 on the validation split.
+
+    Counts do not depend on the smoothing, so all trials share one model and one pass.
+    Returns the best model and the trials (trial, params, f1).
+    """
+    model = train_tagger(train, key)
+    rows = write_table(token_rows(validation, key, "tags"), "token-rows")
+    return _tuned(model, rows.withColumnRenamed("label", "truth"), [*key, "pos"], alphas)
+
+
+def _tuned(model: CountModel, rows: DataFrame, key: Sequence[str], alphas: Sequence[float]) -> tuple[CountModel, DataFrame]:
+    """`rows` has the key, feats and truth. Label-sized counts per trial reach the driver."""
+    chosen = label_choices(model, rows, key, alphas).join(rows.select(*key, "truth"), list(key))
+    counts = write_table(
+        chosen.select("truth", F.posexplode("choices").alias("trial", "z"))
+        .groupBy("trial", "truth", F.col("z.label").alias("pred"))
+        .agg(F.count("*").alias("n")),
+        "trials",
     )
-    return decode_tags(joined, label_map, "_ids", "pred_tags").drop("_p", "_ids")
+    f1 = [weighted_metrics(counts.where(F.col("trial") == i)).first()["f1"] for i in range(len(alphas))]
+    trials = [(i, f"alpha={a}", float(score)) for i, (a, score) in enumerate(zip(alphas, f1, strict=True))]
+    best = replace(model, alpha=alphas[max(range(len(f1)), key=lambda i: f1[i])])
+    return best, rows.sparkSession.createDataFrame(trials, "trial int, params string, f1 double")
 
 
 def with_class_weight(train: DataFrame, column: str = "label") -> DataFrame:
@@ -311,15 +359,35 @@ def relation_stages(num_features: int = 1 << 12, max_iter: int = 20, reg_param:
     )
 
 
-def train_relation_model(train: DataFrame, label_map: DataFrame, **params: float) -> PipelineModel:
-    """H6: relation classifier on marked text, rows weighted by class."""
-    rows = encode_labels(with_class_weight(relation_features(train)), label_map)
-    prepared = cut_lineage(rows.select("marked", F.col("label_id").cast("double").alias("label_id"), "weight"))
+def marked_bigrams(marked: str = "marked") -> Column:
+    """Pairs of neighbouring words and markers of the lower-cased text."""
+    words = F.regexp_extract_all(F.lower(marked), F.lit("\\[/?e[12]\\]|[\\p{L}\\p{N}]+"), F.lit(0))
+    pairs = lambda w: F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", w[i], x))
+    return let(words, pairs)
+
+
+def train_relation_model(
+    train: DataFrame, label_map: DataFrame, learner: str = "counts", **params: float
+) -> CountModel | PipelineModel:
+    """H6: relation classifier on marked text, rows weighted by class (D12); learners as in `train_tagger`."""
+    if learner not in LEARNERS:
+        raise ValueError(f"unknown learner {learner!r}")
+    rows = with_class_weight(relation_features(train))
+    if learner == "counts":
+        prepared = write_table(rows.select(marked_bigrams().alias("feats"), "label", "weight"), "relation-rows")
+        return fit_counts(prepared, weight="weight", **params)
+    encoded = encode_labels(rows, label_map)
+    prepared = write_table(encoded.select("marked", F.col("label_id").cast("double").alias("label_id"), "weight"), "relation-rows")
     return relation_stages(**params).fit(prepared)
 
 
-def predict_relations(model: PipelineModel, samples: DataFrame, label_map: DataFrame) -> DataFrame:
+def predict_relations(
+    model: CountModel | PipelineModel, samples: DataFrame, label_map: DataFrame, key: Sequence[str] = ("file", "e1_id", "e2_id")
+) -> DataFrame:
     """Add `pred`, the predicted label name."""
+    if isinstance(model, CountModel):
+        rows = relation_features(samples).select(*key, marked_bigrams().alias("feats"))
+        return samples.join(predict_counts(model, rows, key).drop("score"), list(key))
     rows = model.transform(relation_features(samples)).withColumn("pred_id", F.col("prediction").cast("int"))
     names = label_map.select(F.col("id").alias("pred_id"), F.col("label").alias("pred"))
     return join_small(rows, names, ["pred_id"], "left").drop(
@@ -327,10 +395,23 @@ def predict_relations(model: PipelineModel, samples: DataFrame, label_map: DataF
     )
 
 
+def tune_relations(
+    train: DataFrame,
+    validation: DataFrame,
+    label_map: DataFrame,
+    alphas: Sequence[float],
+    key: Sequence[str] = ("file", "e1_id", "e2_id"),
+) -> tuple[CountModel, DataFrame]:
+    """H7 for relation models over counts: the smoothing with the best weighted F1, as in `tune_tagger`."""
+    model = train_relation_model(train, label_map)
+    rows = relation_features(validation).select(*key, marked_bigrams().alias("feats"), F.col("label").alias("truth"))
+    return _tuned(model, write_table(rows, "relation-rows"), key, alphas)
+
+
 def tune(
     train: DataFrame, validation: DataFrame, label_map: DataFrame, grid: Sequence[dict[str, float]]
 ) -> tuple[PipelineModel, DataFrame]:
-    """H7: fit every setting, keep the one with the best weighted F1 on the validation split.
+    """H7 for logistic relation models: fit every setting, keep the best weighted F1 on the validation split.
 
     Returns the best model and the trials (trial, params, f1). Both inputs are prepared and
     written once; the trials are as many as the grid has settings.
@@ -340,8 +421,8 @@ def tune(
         rows = encode_labels(relation_features(df), label_map).withColumn("label_id", F.col("label_id").cast("double"))
         return rows.select("marked", "label", "label_id")
 
-    fit_rows = cut_lineage(with_class_weight(prepared(train)).drop("label"))
-    check_rows = cut_lineage(prepared(validation).drop("label"))
+    fit_rows = write_table(with_class_weight(prepared(train)).drop("label"))
+    check_rows = write_table(prepared(validation).drop("label"))
     f1 = MulticlassClassificationEvaluator(labelCol="label_id", metricName="f1")
     best, trials = None, []
     for number, params in enumerate(grid):
@@ -353,20 +434,22 @@ def tune(
     return best[1], train.sparkSession.createDataFrame(trials, "trial int, params string, f1 double")
 
 
-def evaluate_tagger(model: PipelineModel, test: DataFrame, label_map: DataFrame, key: Sequence[str]) -> DataFrame:
+def evaluate_tagger(model: CountModel | PipelineModel, test: DataFrame, label_map: DataFrame, key: Sequence[str]) -> DataFrame:
     """H8 for taggers: span metrics and token metrics of the test split -> (level, label, measures).
 
     The overall line is told apart from the per-type lines by `label = 'overall'`.
     """
-    predicted = cut_lineage(predict_tags(model, test, label_map, key).select("tags", "pred_tags"))
+    predicted = write_table(predict_tags(model, test, label_map, key).select("tags", "pred_tags"))
     spans = span_metrics(predicted, "tags", "pred_tags").drop("support").withColumn("level", F.lit("span"))
     tokens = token_metrics(predicted, "tags", "pred_tags").withColumn("level", F.lit("token"))
     return spans.unionByName(tokens)
 
 
-def evaluate_relations(model: PipelineModel, test: DataFrame, label_map: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evaluate_relations(
+    model: CountModel | PipelineModel, test: DataFrame, label_map: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """H8 for relation models: weighted metrics, the per-class report and the confusion matrix."""
-    counts = cut_lineage(
+    counts = write_table(
         predict_relations(model, test, label_map).groupBy(F.col("label").alias("truth"), "pred").agg(F.count("*").alias("n"))
     )
     return weighted_metrics(counts), classification_report(counts, label_map), confusion_matrix(counts, label_map)

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.session import cut_lineage
+from trialweave.session import write_table
 
 
 def row_index(df: DataFrame, *order_by: Column | str, out: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row in the given unique order.
 
-    A range sort spreads the rows over all tasks. It is checkpointed, so the count pass
-    and the numbering pass see the same partitions even if executors are lost between
-    them. Only the per-partition counts meet in one place.
+    A range sort spreads the rows over all tasks. It is written with the number of the task
+    and the place in it, so the count pass and the numbering pass agree even if executors
+    are lost between them. Only the per-task counts meet in one place.
     """
-    fixed = cut_lineage(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
-    numbered = fixed.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = write_table(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "row-index",
     )
     before = (
         numbered.groupBy("_part")
@@ -27,7 +30,7 @@ def row_index(df: DataFrame, *order_by: Column | str, out: str = "row_index") ->
             "coalesce(sum(n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
         )
     )
-    # One row per partition of the checkpoint.
+    # One row per task of the sort.
     return (
         numbered.join(F.broadcast(before), "_part")
         .withColumn(out, F.col("_before") + F.col("_pos"))

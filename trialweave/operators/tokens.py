@@ -41,55 +41,61 @@ def located_tokens(pieces: Column) -> Column:
     return F.filter(located, lambda z: ~is_blank(z["token"]))
 
 
-def word_tokens(text: Column, limit: int | None = None) -> Column:
-    """array<struct<token, start, end, at>>: words, single punctuation marks and entity markers.
-
-    `limit` keeps the first tokens only (the model's truncation); offsets are then computed
-    for that part alone.
-    """
-    pieces = text_pieces(text)
-    if limit is not None:
-        # White-space runs and tokens alternate at most, so this many pieces suffice.
-        pieces = F.slice(pieces, 1, 2 * limit + 1)
-    tokens = let(pieces, located_tokens)
-    return tokens if limit is None else F.slice(tokens, 1, limit)
+def word_tokens(text: Column) -> Column:
+    """array<struct<token, start, end, at>>: words, single punctuation marks and entity markers."""
+    return let(text_pieces(text), located_tokens)
 
 
-def tokenize_offsets(df: DataFrame, text: str = "text", max_len: int | None = 128, pad: bool = True) -> DataFrame:
-    """G1: add `tokens`, `offsets` and `attention_mask`.
+def tokenize_offsets(
+    df: DataFrame, text: str = "text", max_len: int | None = None, pad: bool = True, truncate: bool = False
+) -> DataFrame:
+    """G1: add `tokens`, `offsets` and `attention_mask`; [CLS] and [SEP] surround the tokens.
 
-    [CLS] and [SEP] surround the tokens; the row is cut and padded to `max_len` (None: no
-    cut, no padding; `pad=False`: no padding). Specials and pads have the offsets (0, 0).
+    With `max_len` a long text gives several rows, one per consecutive window (column
+    `window`), so that no token is lost; `truncate` keeps the first window only. Specials
+    and pads have the offsets (0, 0).
     """
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    base = df.withColumn("_t", word_tokens(F.col(text), None if max_len is None else max_len - 2))
-    pads = F.lit(0) if max_len is None or not pad else F.lit(max_len - 2) - F.size("_t")
-    return (
-        base.withColumn("_pads", pads)
-        .withColumn(
-            "tokens",
-            F.concat(
-                F.array(F.lit(CLS)),
-                F.transform("_t", lambda t: t["token"]),
-                F.array(F.lit(SEP)),
-                F.array_repeat(F.lit(PAD), F.col("_pads")),
-            ),
-        )
+    zero = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    whole = (
+        df.withColumn("_t", word_tokens(F.col(text)))
+        .withColumn("tokens", F.concat(F.array(F.lit(CLS)), F.transform("_t", lambda t: t["token"]), F.array(F.lit(SEP))))
         .withColumn(
             "offsets",
-            F.concat(
-                F.array(zero),
-                F.transform("_t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))),
-                F.array(zero),
-                F.array_repeat(zero, F.col("_pads")),
-            ),
+            F.concat(zero, F.transform("_t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))), zero),
         )
-        .withColumn(
-            "attention_mask",
-            F.concat(F.array_repeat(F.lit(1), F.size("_t") + 2), F.array_repeat(F.lit(0), F.col("_pads"))),
-        )
-        .drop("_t", "_pads")
+        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("_t") + 2))
+        .drop("_t")
     )
+    if max_len is None:
+        return whole
+    windows = token_windows(whole, max_len, pad=pad)
+    return windows.where("window = 0").drop("window") if truncate else windows
+
+
+def token_windows(
+    df: DataFrame, max_len: int, arrays: Sequence[str] = ("tokens", "offsets", "attention_mask"), pad: bool = True
+) -> DataFrame:
+    """Cut token arrays of equal length into windows of at most `max_len`; adds `window`, from 0.
+
+    Each window repeats the first and the last element, the special tokens. Pads get the
+    token [PAD], mask 0 and else what the first element has.
+    """
+    room = max_len - 2
+    body = F.size("tokens") - 2
+    last = F.greatest(F.ceil(body / room).cast("int"), F.lit(1)) - 1
+    held = F.least(F.lit(room), body - F.col("window") * room)
+
+    def cut(name: str) -> Column:
+        first, final = F.slice(name, 1, 1), F.slice(name, -1, 1)
+        parts = [first, F.slice(name, F.col("window") * room + 2, held), final]
+        if pad:
+            filler = {"tokens": F.array(F.lit(PAD)), "attention_mask": F.array(F.lit(0))}.get(name, first)
+            parts.append(F.flatten(F.array_repeat(filler, room - held)))
+        return F.concat(*parts)
+
+    others = [c for c in df.columns if c not in arrays]
+    numbered = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    return numbered.select(*others, "window", *[cut(c).alias(c) for c in arrays])
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -171,9 +177,6 @@ def align_bio(df: DataFrame, mask_special: bool = False) -> DataFrame:
     special = F.lit(None).cast("string") if mask_special else F.lit("O")
 
     def aligned(offsets: Column) -> Column:
-        # Entities behind the last kept token cannot label anything.
-        reach = F.array_max(F.transform(offsets, lambda o: o["end"]))
-        near = F.filter("entities", lambda x: x["start"] < reach)
         def per_token(ents: Column) -> Column:
             return F.transform(
                 offsets,
@@ -183,9 +186,9 @@ def align_bio(df: DataFrame, mask_special: bool = False) -> DataFrame:
             )
 
         if mask_special:
-            return let(near, per_token)
+            return let(F.col("entities"), per_token)
         none = F.array_repeat(F.lit("O"), F.size(offsets))
-        return let(near, lambda ents: F.when(F.size(ents) == 0, none).otherwise(per_token(ents)))
+        return let(F.col("entities"), lambda ents: F.when(F.size(ents) == 0, none).otherwise(per_token(ents)))
 
     return df.withColumn("tags", let(F.col("offsets"), aligned))
 

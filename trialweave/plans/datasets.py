@@ -1,6 +1,6 @@
 """From documents and annotations to the two training datasets.
 
-Tables that several later steps read are written once to the shared checkpoint folder, so
+Tables that several later steps read are written once below the shared folder, so
 no step parses the annotations again and a lost executor costs only its own tasks.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import annotations, labels, pairs, sampling, spans, tokens
 from trialweave.operators.criteria import non_blank
-from trialweave.session import cut_lineage
+from trialweave.session import write_table
 from trialweave.sources.corpus import annotation_lines
 
 PAIR_KEY = ("file", "e1_id", "e2_id")
@@ -26,48 +26,49 @@ def line_entities(
     """Non-blank lines with their mention fragments."""
     lines = spans.line_offsets(documents.select("file", "text"))
     fragments = annotations.parse_mentions_fragments(annotation_lines(documents.select("file", "ann_text")), accepted)
-    return spans.nest_entities(non_blank(lines), spans.assign_to_lines(lines, cut_lineage(fragments)))
+    return spans.nest_entities(non_blank(lines), spans.assign_to_lines(lines, write_table(fragments)))
 
 
 def tagger_samples(
-    documents: DataFrame, max_len: int | None = 128, mask_special: bool = False, pad: bool = True
+    documents: DataFrame, max_len: int | None = None, mask_special: bool = False, pad: bool = True
 ) -> DataFrame:
     """Lines with tokens, offsets and BIO tags (T10 before id encoding)."""
     return aligned_samples(line_entities(documents), max_len, mask_special, pad)
 
 
 def aligned_samples(
-    entities: DataFrame, max_len: int | None = 128, mask_special: bool = False, pad: bool = True
+    entities: DataFrame, max_len: int | None = None, mask_special: bool = False, pad: bool = True
 ) -> DataFrame:
-    tokenized = tokens.tokenize_offsets(entities, "text", max_len, pad)
-    return tokens.align_bio(tokenized, mask_special).select(
+    """With `max_len` a long line gives several windows (column `window`); tags are set before the cut."""
+    aligned = tokens.align_bio(tokens.tokenize_offsets(entities), mask_special)
+    arrays = ("tokens", "offsets", "attention_mask", "tags")
+    cut = aligned if max_len is None else tokens.token_windows(aligned, max_len, arrays, pad)
+    return cut.select(
         *LINE_KEY,
+        *(["window"] if max_len else []),
         "text",
         annotations.criteria_type_of(F.col("file")).alias("criteria_type"),
-        "tokens",
-        "offsets",
-        "attention_mask",
+        *arrays,
         "entities",
-        "tags",
     )
 
 
 def tagger_dataset(
-    documents: DataFrame, max_len: int | None = 128, seed: int = 42, pad: bool = True
+    documents: DataFrame, max_len: int | None = None, seed: int = 42, pad: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Split samples with label ids, and the label map."""
-    samples = cut_lineage(tagger_samples(documents, max_len, pad=pad))
+    samples = write_table(tagger_samples(documents, max_len, pad=pad))
     entity_types = samples.select(F.explode("entities.type").alias("type"))
-    label_map = cut_lineage(labels.ner_label_map(entity_types))
+    label_map = write_table(labels.ner_label_map(entity_types))
     encoded = labels.encode_tags(samples, label_map)
     return sampling.multilabel_split(encoded, LINE_KEY, "labels", seed), label_map
 
 
 def line_mentions(documents: DataFrame, carry: Iterable[str] = ("text",)) -> DataFrame:
-    """Envelope mentions with their line (relation path); written once."""
+    """Envelope mentions with their line (relation path)."""
     lines = spans.line_offsets(documents.select("file", "text"))
     mentions = annotations.parse_mentions_envelope(annotation_lines(documents.select("file", "ann_text")))
-    return cut_lineage(spans.assign_to_lines(lines, cut_lineage(mentions), tuple(carry)))
+    return spans.assign_to_lines(lines, write_table(mentions, "mentions"), tuple(carry))
 
 
 def relations_of(documents: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def relations_of(documents: DataFrame) -> DataFrame:
 
 def relation_samples(documents: DataFrame, rate: float | None = None, seed: int = 42) -> DataFrame:
     """Labelled candidate pairs (T11); negatives thinned to `rate` while they are made."""
-    mentions = line_mentions(documents)
+    mentions = write_table(line_mentions(documents), "line-mentions")
     labelled = pairs.label_pairs(mentions, relations_of(documents), left_only=["line_text"])
     kept = sampling.downsample(labelled, rate, PAIR_KEY, seed)
     return kept.select(
@@ -94,7 +95,7 @@ def relation_dataset(
     documents: DataFrame, rate: float | None = None, train_rate: float | None = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Split pair samples and the label map: rare labels dropped, train negatives thinned."""
-    samples = labels.drop_rare_labels(cut_lineage(relation_samples(documents, rate, seed)))
-    label_map = cut_lineage(labels.re_label_map(samples))
+    samples = labels.drop_rare_labels(write_table(relation_samples(documents, rate, seed)))
+    label_map = write_table(labels.re_label_map(samples))
     split = sampling.stratified_split(samples, "label", PAIR_KEY, seed)
     return sampling.downsample(split, train_rate, PAIR_KEY, seed, split="train"), label_map

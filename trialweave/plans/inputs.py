@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from trialweave.functions.text import hash_u
 from trialweave.operators import annotations, criteria, labels, pairs, sampling, spans, tokens
 from trialweave.plans import bridge, datasets
-from trialweave.session import cut_lineage
+from trialweave.session import write_table
 from trialweave.sources.corpus import annotation_lines
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The checkpointed table `name`, built at the first call of a session."""
+    """The written table `name`, built at the first call of a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        _WRITTEN[key] = cut_lineage(build())
+        _WRITTEN[key] = write_table(build(), name)
     return _WRITTEN[key]
 
 
@@ -88,7 +88,7 @@ def tagged_lines(spark, sf_dir):
     """Lines with whole-line tokens, gold tags and noisy tags (a rule on the token's hash)."""
 
     def build():
-        aligned = tokens.align_bio(tokens.tokenize_offsets(line_entities(spark, sf_dir), "text", None))
+        aligned = tokens.align_bio(tokens.tokenize_offsets(line_entities(spark, sf_dir)))
         noise = lambda t: hash_u(F.lower(t)) % 6
         noisy = F.zip_with(
             "tokens",
@@ -111,11 +111,11 @@ def ner_label_map(spark, sf_dir):
 
 
 def tagger_rows(spark, sf_dir):
-    """The tagger dataset, cut at 128 tokens and not padded: label ids, stratum and split."""
+    """The tagger dataset, whole lines without padding: label ids, stratum and split."""
 
     def build():
-        samples = datasets.aligned_samples(line_entities(spark, sf_dir), pad=False).drop("offsets", "entities")
-        encoded = cut_lineage(labels.encode_tags(samples, ner_label_map(spark, sf_dir)))
+        samples = tagged_lines(spark, sf_dir).select(*datasets.LINE_KEY, "text", "tokens", "attention_mask", "tags")
+        encoded = labels.encode_tags(samples, ner_label_map(spark, sf_dir))
         return sampling.multilabel_split(encoded, datasets.LINE_KEY)
 
     return written(spark, sf_dir, "tagger_rows", build)

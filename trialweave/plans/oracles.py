@@ -110,7 +110,10 @@ VIEWS: dict[str, str] = {
             || ' Arg1:T' || ord || ' Arg2:T' || (ord + 1) FROM chained WHERE code < code1
           UNION ALL
           SELECT file, ord, 2, '*' || chr(9) || CASE WHEN code = 0 THEN 'NOT' ELSE 'OR' END
-            || ' T' || ord || ' T' || (ord + 1) || ' T' || (ord + 2) FROM chained WHERE code = code2)""",
+            || ' T' || ord || ' T' || (ord + 1) || ' T' || (ord + 2) FROM chained WHERE code = code2
+          UNION ALL
+          SELECT file, ord, 3, 'R' || ord || chr(9) || 'NO_RELATION Arg1:T' || ord || ' Arg2:T' || (ord + 1)
+          FROM chained WHERE code < code1 AND code = 1)""",
     "frags": """
         SELECT m.file, a.ann_line, 0 AS frag_no, id, type, start, end1 AS "end", text
         FROM mention_rows m JOIN ann a ON a.file = m.file AND a.ord = m.ord AND a.kind = 0
@@ -124,7 +127,7 @@ VIEWS: dict[str, str] = {
     "binary_rel": f"""
         SELECT file, ann_line, 0 AS perm_no, regexp_extract(line, '\\t([^ ]+) ', 1) AS rel_type,
           regexp_extract(line, 'Arg1:(T[0-9]+)', 1) AS arg1, regexp_extract(line, 'Arg2:(T[0-9]+)', 1) AS arg2
-        FROM ann WHERE kind = 1""",
+        FROM ann WHERE kind IN (1, 3)""",
     "nary_rel": """
         SELECT file, ann_line, i * 2 + CASE WHEN j > i THEN j - 1 ELSE j END AS perm_no, args[1] AS rel_type,
           args[i + 2] AS arg1, args[j + 2] AS arg2
@@ -147,7 +150,7 @@ VIEWS: dict[str, str] = {
           b.id AS e2_id, b.type AS e2_type, b.start AS e2_start, b."end" AS e2_end, a.line_text
         FROM in_lines a JOIN in_lines b ON a.file = b.file AND a.line_no = b.line_no AND a.id <> b.id""",
     "gold": f"""
-        SELECT file, arg1, arg2, rel_type FROM rels WHERE rel_type IN {_in(RELATION_TYPES)}
+        SELECT file, arg1, arg2, rel_type FROM rels WHERE rel_type IN {_in([*RELATION_TYPES, "NO_RELATION"])}
         QUALIFY row_number() OVER (PARTITION BY file, arg1, arg2 ORDER BY ann_line DESC, perm_no DESC) = 1""",
     "labelled": """
         SELECT c.*, coalesce(g.rel_type, 'NO_RELATION') AS label
@@ -202,13 +205,6 @@ VIEWS: dict[str, str] = {
     "noisy": f"""
         SELECT *, CASE WHEN token IN ('[CLS]', '[SEP]') THEN tag WHEN h = 0 THEN 'O' WHEN h = 1 THEN 'I-Drug' ELSE tag END AS pred_tag
         FROM (SELECT *, {_hash("lower(token)")} % 6 AS h FROM seq)""",
-    "short_seq": """
-        SELECT file, line_no, pos, token, s, e, tag FROM tok_tags WHERE pos <= 126 UNION ALL
-        SELECT file, line_no, least(pos, 127), token, 0, 0, 'O' FROM specials""",
-    "padded": """
-        SELECT file, line_no, pos, token, s, e, tag FROM short_seq UNION ALL
-        SELECT file, line_no, p, '[PAD]', 0, 0, 'O' FROM
-          (SELECT file, line_no, max(pos) AS last FROM short_seq GROUP BY file, line_no), unnest(range(last + 1, 128)) t(p)""",
     "ner_map": """
         SELECT CAST(0 AS INT) AS id, 'O' AS label UNION ALL
         SELECT CAST(2 * r - 1 AS INT), 'B-' || type FROM (SELECT type, row_number() OVER (ORDER BY type) AS r FROM
@@ -216,7 +212,7 @@ VIEWS: dict[str, str] = {
         SELECT CAST(2 * r AS INT), 'I-' || type FROM (SELECT type, row_number() OVER (ORDER BY type) AS r FROM
           (SELECT DISTINCT type FROM frag_in_lines))""",
     "row_labels": """
-        SELECT DISTINCT p.file, p.line_no, m.id AS label_id FROM short_seq p JOIN ner_map m ON m.label = p.tag WHERE m.id > 0""",
+        SELECT DISTINCT p.file, p.line_no, m.id AS label_id FROM seq p JOIN ner_map m ON m.label = p.tag WHERE m.id > 0""",
     "rarity": "SELECT label_id, count(*) AS n FROM row_labels GROUP BY label_id",
     "strata": """
         SELECT l.file, l.line_no, coalesce(s.stratum, 0) AS stratum FROM text_lines l LEFT JOIN (
@@ -243,7 +239,7 @@ def _chunks(table: str, tag: str) -> str:
 
 VIEWS["pred_chunks"] = _chunks("noisy", "pred_tag")
 VIEWS["true_chunks"] = _chunks("noisy", "tag")
-VIEWS["short_chunks"] = _chunks("padded", "tag")
+VIEWS["gold_chunks"] = _chunks("seq", "tag")
 
 
 def _scores(counts: str) -> str:
@@ -327,6 +323,140 @@ VIEWS["lexicon_folded"] = """
           lambda acc, x: CASE WHEN x.s >= acc.e THEN {'s': x.s, 'e': x.e, 'k': acc.k || x.k} ELSE acc END).k AS kept
         FROM lexicon_ordered GROUP BY sentence_id"""
 
+VIEWS["tag_ents"] = """
+        SELECT sentence_id, entity_group, word, start, "end", row_number() OVER (PARTITION BY sentence_id ORDER BY start) AS eo FROM (
+          SELECT sentence_id, CASE WHEN regexp_matches(p, '^[0-9]') THEN 'Value' ELSE 'Condition' END AS entity_group, p AS word, s AS start, s + length(p) AS "end"
+          FROM (SELECT sentence_id, p, CAST(coalesce(sum(length(p)) OVER (PARTITION BY sentence_id ORDER BY k
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+            FROM (SELECT sentence_id, unnest(range(0, len(ps))) AS k, unnest(ps) AS p
+                  FROM (SELECT sentence_id, regexp_extract_all(text, '(?s)[A-Z][a-z]+|[0-9]+|.') AS ps FROM sentences)))
+          WHERE regexp_matches(p, '^([A-Z][a-z]+|[0-9]+)$'))"""
+# Matches of one pattern are disjoint. Inserted from right to left, [E2] stands behind [E1] by the
+# length of the text between them and the markers in between.
+VIEWS["full_pairs"] = f"""
+        SELECT sentence_id, abs(strpos(marked, '[E2]') - strpos(marked, '[E1]')) / 40.0::DOUBLE AS l0,
+          CASE WHEN strpos(marked, '[E1]') < strpos(marked, '[E2]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS l1, 0.5::DOUBLE AS l2
+        FROM (SELECT a.sentence_id, {_marked('s.text', 'a.start', 'a."end"', 'b.start', 'b."end"')} AS marked
+          FROM tag_ents a JOIN tag_ents b ON a.sentence_id = b.sentence_id AND a.eo <> b.eo JOIN sentences s ON s.sentence_id = a.sentence_id)"""
+
+
+def _count_model(name: str, key: str, alphas: str = "1.0") -> None:
+    """Naive Bayes views over {name}_rows (key, label, w, split) and {name}_feats (key, feature)."""
+    VIEWS[f"{name}_counts"] = f"""
+        SELECT feature, label, sum(w) AS n FROM {name}_feats JOIN {name}_rows USING ({key}) WHERE split = 'train' GROUP BY feature, label"""
+    VIEWS[f"{name}_totals"] = f"""
+        SELECT label, n, ln(n / sum(n) OVER ()) AS prior, total, (SELECT count(DISTINCT feature) FROM {name}_counts) AS v
+        FROM (SELECT label, sum(w) AS n FROM {name}_rows WHERE split = 'train' GROUP BY label)
+        JOIN (SELECT label, sum(n) AS total FROM {name}_counts GROUP BY label) USING (label)"""
+    VIEWS[f"{name}_gains"] = f"""
+        SELECT {key}, c.label, a.alpha, sum(ln(1 + c.n / a.alpha)) AS gain FROM {name}_feats JOIN {name}_rows r USING ({key})
+        JOIN {name}_counts c USING (feature) CROSS JOIN {name}_alphas a WHERE r.split <> 'train' GROUP BY ALL"""
+    VIEWS[f"{name}_sizes"] = f"SELECT {key}, count(*) AS m FROM {name}_feats GROUP BY ALL"
+    VIEWS[f"{name}_preds"] = f"""
+        SELECT {key}, split, alpha, truth, pred FROM (
+          SELECT {key}, r.split, r.label AS truth, t.label AS pred, a.alpha,
+            round(t.prior + coalesce(z.m, 0) * ln(a.alpha / (t.total + a.alpha * t.v)) + coalesce(g.gain, 0), 6) AS score
+          FROM {name}_rows r CROSS JOIN {name}_totals t CROSS JOIN {name}_alphas a LEFT JOIN {name}_sizes z USING ({key})
+          LEFT JOIN (SELECT {key}, label AS label_g, alpha AS alpha_g, gain FROM {name}_gains) g
+            ON {" AND ".join(f"g.{k} = r.{k}" for k in key.split(", "))} AND g.label_g = t.label AND g.alpha_g = a.alpha
+          WHERE r.split <> 'train')
+        QUALIFY row_number() OVER (PARTITION BY {key}, alpha ORDER BY score DESC, pred) = 1"""
+    VIEWS[f"{name}_alphas"] = f"SELECT unnest([{alphas}])::DOUBLE AS alpha"
+
+
+ALPHAS = "0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0"
+VIEWS["near_seq"] = """
+        SELECT *, lower(token) AS w, lower(coalesce(lag(token) OVER l, '')) AS p, lower(coalesce(lead(token) OVER l, '')) AS n,
+          regexp_replace(regexp_replace(regexp_replace(token, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g') AS shape
+        FROM seq WINDOW l AS (PARTITION BY file, line_no ORDER BY pos)"""
+VIEWS["pair_train"] = """
+        SELECT s.*, u.u FROM splits s JOIN (SELECT file, e1_id, e2_id, u FROM u_pairs) u USING (file, e1_id, e2_id)
+        WHERE s.label <> 'NO_RELATION' OR split <> 'train' OR u < 0.2"""
+VIEWS["pair_weights"] = """
+        SELECT label, w / avg(w) OVER () AS w FROM (
+          SELECT label, sqrt(sum(n) OVER () / (count(*) OVER () * n)::DOUBLE) AS w
+          FROM (SELECT label, count(*) AS n FROM pair_train WHERE split = 'train' GROUP BY label))"""
+for _name, _alphas in (("tagger", "1.0"), ("taggers", ALPHAS)):
+    VIEWS[f"{_name}_rows"] = "SELECT file, line_no, pos, tag AS label, 1.0::DOUBLE AS w, split FROM seq JOIN line_splits USING (file, line_no) WHERE pos > 0"
+    VIEWS[f"{_name}_feats"] = """
+        SELECT file, line_no, pos, unnest(['w=' || w, 'p=' || p, 'n=' || n, 's=' || substr(shape, 1, 8), 'a=' || substr(w, 1, 3), 'z=' || right(w, 3)]) AS feature
+        FROM near_seq WHERE pos > 0"""
+    _count_model(_name, "file, line_no, pos", _alphas)
+for _name, _alphas in (("rel", "1.0"), ("rels_all", ALPHAS)):
+    VIEWS[f"{_name}_rows"] = """
+        SELECT file, e1_id, e2_id, p.label, coalesce(x.w, 1.0::DOUBLE) AS w, split FROM pair_train p LEFT JOIN pair_weights x ON x.label = p.label"""
+    VIEWS[f"{_name}_feats"] = f"""
+        SELECT file, e1_id, e2_id, ws[i] || ' ' || ws[i + 1] AS feature FROM (
+          SELECT file, e1_id, e2_id, ws, unnest(range(1, len(ws))) AS i FROM (
+            SELECT file, e1_id, e2_id, regexp_extract_all(lower({_marked('line_text', 'e1_start', 'e1_end', 'e2_start', 'e2_end')}),
+              '\\[/?e[12]\\]|[\\p{{L}}\\p{{N}}]+') AS ws FROM pair_train))"""
+    _count_model(_name, "file, e1_id, e2_id", _alphas)
+VIEWS["tagger_seq"] = """
+        SELECT s.file, s.line_no, s.pos, s.token, s.s, s.e, s.tag, coalesce(p.pred, 'O') AS pred_tag FROM seq s JOIN line_splits USING (file, line_no)
+        LEFT JOIN tagger_preds p USING (file, line_no, pos) WHERE line_splits.split = 'test'"""
+VIEWS["tagger_true_chunks"] = _chunks("tagger_seq", "tag")
+VIEWS["tagger_pred_chunks"] = _chunks("tagger_seq", "pred_tag")
+VIEWS["tagger_tok_counts"] = """
+        SELECT regexp_replace(tag, '^[BI]-', '') AS truth, regexp_replace(pred_tag, '^[BI]-', '') AS pred, count(*) AS n
+        FROM tagger_seq GROUP BY ALL"""
+VIEWS["tagger_tok_scores"] = _scores("tagger_tok_counts")
+VIEWS["rel_test_counts"] = "SELECT truth, pred, count(*) AS n FROM rel_preds WHERE split = 'test' GROUP BY truth, pred"
+VIEWS["rel_test_scores"] = _scores("rel_test_counts")
+
+
+def _span_metrics(seq: str, true_chunks: str, pred_chunks: str) -> str:
+    return f"""
+        SELECT coalesce(type, 'overall') AS label, CASE WHEN type IS NULL THEN (SELECT round(avg(CAST(tag = pred_tag AS INT)), 6) FROM {seq}) END AS accuracy,
+          round(coalesce(sum(tp)::DOUBLE / nullif(sum(p), 0), 0), 6) AS precision, round(coalesce(sum(tp)::DOUBLE / nullif(sum(t), 0), 0), 6) AS recall,
+          round(coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(t) + sum(p), 0), 0), 6) AS f1, sum(t) AS support
+        FROM (SELECT type, CAST(a.file IS NOT NULL AS INT) AS t, CAST(b.file IS NOT NULL AS INT) AS p,
+                CAST(a.file IS NOT NULL AND b.file IS NOT NULL AS INT) AS tp
+              FROM (SELECT *, file || '|' || line_no || '|' || first || '|' || last AS k FROM {true_chunks}) a
+              FULL JOIN (SELECT *, file || '|' || line_no || '|' || first || '|' || last AS k FROM {pred_chunks}) b USING (k, type))
+        GROUP BY GROUPING SETS ((), (type))"""
+
+
+def _token_metrics(scores: str) -> str:
+    return f"""
+        SELECT 'overall' AS label, round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(precision * support) / sum(support), 6) AS precision,
+          round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM {scores}
+        UNION ALL SELECT label, NULL, round(precision, 6), round(recall, 6), round(f1, 6) FROM {scores} WHERE support > 0"""
+
+
+def _overall(scores: str) -> str:
+    return f"""
+        SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS f1,
+          round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall FROM {scores}"""
+
+
+def _report(scores: str) -> str:
+    return f"""
+        SELECT m.id, m.label AS name, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall,
+          round(coalesce(f1, 0), 6) AS f1, coalesce(support, 0) AS support FROM re_map m LEFT JOIN {scores} USING (label)
+        UNION ALL SELECT NULL, 'accuracy', a, a, a, n FROM (SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS a, sum(support) AS n FROM {scores})
+        UNION ALL SELECT NULL, 'macro avg', round(avg(coalesce(precision, 0)), 6), round(avg(coalesce(recall, 0)), 6), round(avg(coalesce(f1, 0)), 6), sum(support)
+          FROM re_map LEFT JOIN {scores} USING (label)
+        UNION ALL SELECT NULL, 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+          round(sum(f1 * support) / sum(support), 6), sum(support) FROM {scores}"""
+
+
+def _matrix(counts: str) -> str:
+    return f"""
+        SELECT t.id AS truth_id, t.label AS truth, p.id AS pred_id, p.label AS pred, coalesce(c.n, 0) AS n,
+          round(coalesce(c.n / nullif(sum(c.n) OVER (PARTITION BY t.id), 0)::DOUBLE, 0), 6) AS share
+        FROM re_map t CROSS JOIN re_map p LEFT JOIN {counts} c ON c.truth = t.label AND c.pred = p.label"""
+
+
+def _trials(preds: str) -> str:
+    """Weighted F1 of each smoothing value on the validation split."""
+    return f"""
+        WITH v AS (SELECT alpha, truth, pred, count(*) AS n FROM {preds} WHERE split = 'validation' GROUP BY ALL),
+        l AS (SELECT alpha, label, sum(tp) AS tp, sum(t) AS t, sum(p) AS p FROM (
+            SELECT alpha, truth AS label, CASE WHEN truth = pred THEN n ELSE 0 END AS tp, n AS t, 0 AS p FROM v
+            UNION ALL SELECT alpha, pred, 0, 0, n FROM v) GROUP BY ALL)
+        SELECT CAST(row_number() OVER (ORDER BY alpha) - 1 AS INT) AS trial, 'alpha=' || alpha AS params,
+          round(sum(coalesce(2.0::DOUBLE * tp / nullif(t + p, 0), 0) * t) / sum(t), 6) AS f1 FROM l GROUP BY alpha"""
+
 
 def _with(sql: str) -> str:
     """Prepend the views that `sql` uses, in definition order."""
@@ -352,12 +482,17 @@ def _with(sql: str) -> str:
             add(name)
     if not done:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in done) + "\n" + sql
+    text = sql + " ".join(VIEWS[n] for n in done)
+    # What several steps read is computed once.
+    shared = {n for n in done if len(re.findall(rf"\b{n}\b", text)) > 1}
+    head = "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in shared else ''}({VIEWS[n]})" for n in done)
+    # A statement with views of its own continues the list.
+    return head + (",\n" + sql.lstrip()[5:] if sql.lstrip().startswith("WITH ") else "\n" + sql)
 
 
 _SQL: dict[str, str] = {
     "criteria_counts": "SELECT studyNCTid, criteria_type, count(*) AS n_items, sum(length(text)) AS n_chars FROM items GROUP BY ALL",
-    "read_studies": "SELECT StudyNCTid, cell AS EligibilityCriteria FROM blocks",
+    "read_studies": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS study_row, StudyNCTid, cell AS EligibilityCriteria FROM blocks",
     "split_lines": "SELECT doc_id AS study_row, StudyNCTid, line_no, line FROM block_lines WHERE line <> ''",
     "tag_sections": "SELECT doc_id AS study_row, StudyNCTid, line_no, line, is_header, criteria_type FROM tagged",
     "extract_bullets": "SELECT study_row, StudyNCTid, line_no, criteria_type, text FROM bullets",
@@ -369,12 +504,12 @@ _SQL: dict[str, str] = {
     "normalize_text": """
         SELECT d.doc_id, d.n_chars, coalesce(CAST(l.quality AS VARCHAR), '') AS text FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "head_sentences": "SELECT sentence_id, studyNCTid, criteria_type, text FROM sentences ORDER BY sentence_id LIMIT 100",
-    "read_corpus": f"SELECT text || {NL} AS text FROM docs",
-    "read_annotations": "SELECT ann_line, line FROM ann",
+    "read_corpus": f"SELECT file, text || {NL} AS text FROM docs",
+    "read_annotations": "SELECT file, ann_line, line FROM ann",
     "pair_documents": """
         SELECT d.file, length(d.text) AS n_chars, a.n AS n_ann_chars FROM docs d JOIN (
           SELECT file, sum(length(raw) + 1) - 1 AS n FROM (
-            SELECT a.file, a.line || CASE WHEN kind = 1 THEN chr(9) WHEN kind = 0 AND m.second AND m.next = '' THEN ' ' ELSE '' END AS raw
+            SELECT a.file, a.line || CASE WHEN kind IN (1, 3) THEN chr(9) WHEN kind = 0 AND m.second AND m.next = '' THEN ' ' ELSE '' END AS raw
             FROM ann a JOIN found m ON m.file = a.file AND m.ord = a.ord) GROUP BY file) a ON a.file = d.file""",
     "unpaired_documents": "SELECT file, text FROM docs WHERE file NOT IN (SELECT file FROM found)",
     "criteria_type_of": """
@@ -387,7 +522,7 @@ _SQL: dict[str, str] = {
     "expand_nary_relations": "SELECT * FROM nary_rel",
     "all_relations": "SELECT file, rel_type, count(*) AS n FROM rels GROUP BY ALL",
     "filter_relation_types": f"SELECT rel_type, count(*) AS n FROM rels WHERE rel_type IN {_in(RELATION_TYPES)} GROUP BY ALL",
-    "rejected_relations": f"SELECT rel_type, count(*) AS n FROM rels WHERE rel_type NOT IN {_in(RELATION_TYPES)} GROUP BY ALL",
+    "rejected_relations": f"SELECT rel_type, count(*) AS n FROM rels WHERE rel_type NOT IN {_in([*RELATION_TYPES, "NO_RELATION"])} GROUP BY ALL",
     "distinct_types": "SELECT DISTINCT rel_type FROM rels",
     "line_offsets": "SELECT file, line_no, text, off FROM kept_lines",
     "non_blank_lines": "SELECT file, count(*) AS n_lines, sum(off) AS sum_off FROM text_lines GROUP BY file",
@@ -422,8 +557,8 @@ _SQL: dict[str, str] = {
         SELECT count(*) AS total_pairs, count(*) FILTER (label <> 'NO_RELATION') AS positives,
           count(*) FILTER (label = 'NO_RELATION' AND u <= 0.25) AS negatives_kept,
           count(*) FILTER (label = 'NO_RELATION' AND u > 0.25) AS negatives_dropped,
-          (SELECT count(*) FROM rels WHERE rel_type NOT IN {_in(RELATION_TYPES)}) AS rejected,
-          (SELECT string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) FROM rels WHERE rel_type NOT IN {_in(RELATION_TYPES)}) AS rejected_types,
+          (SELECT count(*) FROM rels WHERE rel_type NOT IN {_in([*RELATION_TYPES, "NO_RELATION"])}) AS rejected,
+          (SELECT string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) FROM rels WHERE rel_type NOT IN {_in([*RELATION_TYPES, "NO_RELATION"])}) AS rejected_types,
           round(count(*) FILTER (label = 'NO_RELATION' AND u <= 0.25)::DOUBLE / count(*) FILTER (label <> 'NO_RELATION'), 6) AS neg_pos_ratio
         FROM u_pairs""",
     "label_distribution": """
@@ -450,8 +585,8 @@ _SQL: dict[str, str] = {
         WHERE s.label <> 'NO_RELATION' OR split <> 'train' OR u < 0.2""",
     "tokenize_offsets": """
         SELECT file, line_no, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(s || ':' || e, ' ' ORDER BY pos) AS offsets,
-          count(*) FILTER (token <> '[PAD]') AS n_real
-        FROM padded GROUP BY file, line_no""",
+          count(*) AS n_real
+        FROM seq GROUP BY file, line_no""",
     "build_vocab": """
         SELECT token, row_number() OVER (ORDER BY n DESC, token) + 7 AS id FROM (
           SELECT token, count(*) AS n FROM toks WHERE token NOT IN ('[E1]', '[/E1]', '[E2]', '[/E2]') GROUP BY token)
@@ -459,8 +594,8 @@ _SQL: dict[str, str] = {
     "encode_tokens": """
         SELECT file, line_no, string_agg(CASE WHEN s.token = '[CLS]' THEN 2 WHEN s.token = '[SEP]' THEN 3 ELSE coalesce(v.id, 1) END, ' ' ORDER BY pos) AS input_ids
         FROM seq s LEFT JOIN (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 7 AS id FROM (
-          SELECT token, count(*) AS n FROM toks GROUP BY token HAVING count(*) >= 3)) v USING (token) GROUP BY file, line_no""",
-    "align_bio": "SELECT file, line_no, string_agg(tag, ' ' ORDER BY pos) AS tags FROM padded GROUP BY file, line_no",
+          SELECT token, count(*) AS n FROM toks JOIN line_splits USING (file, line_no) WHERE split = 'train' GROUP BY token)) v USING (token) GROUP BY file, line_no""",
+    "align_bio": "SELECT file, line_no, string_agg(tag, ' ' ORDER BY pos) AS tags FROM seq GROUP BY file, line_no",
     "bio_spans_strict": """
         SELECT file, line_no, row_number() OVER (PARTITION BY file, line_no ORDER BY first) - 1 AS span_no, type, first AS start, last AS "end"
         FROM pred_chunks WHERE first_tag LIKE 'B-%'""",
@@ -485,52 +620,21 @@ _SQL: dict[str, str] = {
         LEFT JOIN row_labels r ON r.file = l.file AND r.line_no = l.line_no AND r.label_id = m.id GROUP BY l.file, l.line_no""",
     "ner_statistics": """
         SELECT split, type, count(*) AS spans, round(avg(last - first + 1), 6) AS mean_tokens, CAST(NULL AS BIGINT) AS sentences
-        FROM short_chunks JOIN line_splits USING (file, line_no) WHERE first_tag LIKE 'B-%' GROUP BY split, type
+        FROM gold_chunks JOIN line_splits USING (file, line_no) WHERE first_tag LIKE 'B-%' GROUP BY split, type
         UNION ALL
         SELECT split, NULL, count(first), NULL, count(DISTINCT file || '|' || line_no)
-        FROM line_splits LEFT JOIN (SELECT * FROM short_chunks WHERE first_tag LIKE 'B-%') USING (file, line_no) GROUP BY split""",
+        FROM line_splits LEFT JOIN (SELECT * FROM gold_chunks WHERE first_tag LIKE 'B-%') USING (file, line_no) GROUP BY split""",
     "bio_label_counts": """
-        SELECT split, id AS label_id, count(*) AS n FROM short_seq JOIN ner_map ON label = tag JOIN line_splits USING (file, line_no)
+        SELECT split, id AS label_id, count(*) AS n FROM seq JOIN ner_map ON label = tag JOIN line_splits USING (file, line_no)
         WHERE id > 0 GROUP BY ALL""",
-    "weighted_metrics": """
-        SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS f1,
-          round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall FROM pair_scores""",
-    "weighted_metrics_quality": """
-        SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS f1,
-          round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall FROM quality_scores""",
-    "classification_report": """
-        SELECT m.id, m.label AS name, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall,
-          round(coalesce(f1, 0), 6) AS f1, coalesce(support, 0) AS support FROM re_map m LEFT JOIN pair_scores USING (label)
-        UNION ALL SELECT NULL, 'accuracy', a, a, a, n FROM (SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS a, sum(support) AS n FROM pair_scores)
-        UNION ALL SELECT NULL, 'macro avg', round(avg(coalesce(precision, 0)), 6), round(avg(coalesce(recall, 0)), 6), round(avg(coalesce(f1, 0)), 6), sum(support)
-          FROM re_map LEFT JOIN pair_scores USING (label)
-        UNION ALL SELECT NULL, 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-          round(sum(f1 * support) / sum(support), 6), sum(support) FROM pair_scores""",
-    "confusion_matrix": """
-        SELECT t.id AS truth_id, t.label AS truth, p.id AS pred_id, p.label AS pred, coalesce(c.n, 0) AS n,
-          round(coalesce(c.n / nullif(sum(c.n) OVER (PARTITION BY t.id), 0)::DOUBLE, 0), 6) AS share
-        FROM re_map t CROSS JOIN re_map p LEFT JOIN pair_counts c ON c.truth = t.label AND c.pred = p.label""",
-    "token_metrics": """
-        SELECT 'overall' AS label, round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(precision * support) / sum(support), 6) AS precision,
-          round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM tok_scores
-        UNION ALL SELECT label, NULL, round(precision, 6), round(recall, 6), round(f1, 6) FROM tok_scores WHERE support > 0""",
-    "span_metrics": """
-        SELECT coalesce(type, 'overall') AS label, CASE WHEN type IS NULL THEN (SELECT round(avg(CAST(tag = pred_tag AS INT)), 6) FROM noisy) END AS accuracy,
-          round(coalesce(sum(tp)::DOUBLE / nullif(sum(p), 0), 0), 6) AS precision, round(coalesce(sum(tp)::DOUBLE / nullif(sum(t), 0), 0), 6) AS recall,
-          round(coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(t) + sum(p), 0), 0), 6) AS f1, sum(t) AS support
-        FROM (SELECT type, CAST(a.file IS NOT NULL AS INT) AS t, CAST(b.file IS NOT NULL AS INT) AS p,
-                CAST(a.file IS NOT NULL AND b.file IS NOT NULL AS INT) AS tp
-              FROM (SELECT *, file || '|' || line_no || '|' || first || '|' || last AS k FROM true_chunks) a
-              FULL JOIN (SELECT *, file || '|' || line_no || '|' || first || '|' || last AS k FROM pred_chunks) b USING (k, type))
-        GROUP BY GROUPING SETS ((), (type))""",
+    "weighted_metrics": _overall("pair_scores"),
+    "weighted_metrics_quality": _overall("quality_scores"),
+    "classification_report": _report("pair_scores"),
+    "confusion_matrix": _matrix("pair_counts"),
+    "token_metrics": _token_metrics("tok_scores"),
+    "span_metrics": _span_metrics("noisy", "true_chunks", "pred_chunks"),
     "tag_entities": """
-        SELECT sentence_id, entity_group, word, start, "end", round(1.0::DOUBLE / length(word), 6) AS confidence_score FROM (
-          SELECT sentence_id, CASE WHEN regexp_matches(p, '^[0-9]') THEN 'Value' ELSE 'Condition' END AS entity_group, p AS word, s AS start, s + length(p) AS "end"
-          FROM (SELECT sentence_id, p, coalesce(sum(length(p)) OVER (PARTITION BY sentence_id ORDER BY k
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-            FROM (SELECT sentence_id, unnest(range(0, len(ps))) AS k, unnest(ps) AS p
-                  FROM (SELECT sentence_id, regexp_extract_all(text, '(?s)[A-Z][a-z]+|[0-9]+|.') AS ps FROM sentences)))
-          WHERE regexp_matches(p, '^([A-Z][a-z]+|[0-9]+)$'))""",
+        SELECT sentence_id, entity_group, word, start, "end", round(1.0::DOUBLE / length(word), 6) AS confidence_score FROM tag_ents""",
     "lexicon": "SELECT surface, type, n_tokens FROM lexicon_tokens WHERE n_tokens > 0",
     "lexicon_tagger": """
         SELECT o.sentence_id, o.type AS entity_group, o.word, o.start, o."end"
@@ -541,6 +645,21 @@ _SQL: dict[str, str] = {
           SELECT sentence_id, count(*) AS n, string_agg(arg1 || '|' || relation || '|' || arg2, ';' ORDER BY i, j) AS joined
           FROM inference_rels GROUP BY sentence_id) r USING (sentence_id)""",
     "extraction_entities": "SELECT sentence_id, nct_id, criteria_type, len(words) AS n_entities FROM tagged_sentences",
+    "extraction_full": """
+        SELECT t.sentence_id, nct_id, criteria_type, len(words) AS n_entities, coalesce(r.n, 0) AS n_relations FROM tagged_sentences t
+        LEFT JOIN (SELECT sentence_id, count(*) AS n FROM full_pairs WHERE NOT (l0 >= l1 AND l0 >= l2) GROUP BY sentence_id) r USING (sentence_id)""",
+    "train_tagger": """
+        SELECT regexp_replace(tag, '^[BI]-', '') AS truth, regexp_replace(coalesce(pred, 'O'), '^[BI]-', '') AS pred, count(*) AS n
+        FROM seq JOIN line_splits l USING (file, line_no) LEFT JOIN tagger_preds USING (file, line_no, pos) WHERE l.split = 'validation' GROUP BY ALL""",
+    "evaluate_tagger": f"""
+        SELECT 'span' AS level, * EXCLUDE (support) FROM ({_span_metrics("tagger_seq", "tagger_true_chunks", "tagger_pred_chunks")})
+        UNION ALL BY NAME SELECT 'token' AS level, * FROM ({_token_metrics("tagger_tok_scores")})""",
+    "tune_tagger": _trials("taggers_preds"),
+    "train_relation_model": "SELECT truth AS label, pred, count(*) AS n FROM rel_preds WHERE split = 'validation' GROUP BY ALL",
+    "evaluate_relations": _report("rel_test_scores"),
+    "evaluate_relations_overall": _overall("rel_test_scores"),
+    "evaluate_relations_matrix": _matrix("rel_test_counts"),
+    "tune": _trials("rels_all_preds"),
     "extraction_relations": """
         SELECT sentence_id, regexp_extract(file, '^D[0-9]+') AS nct_id,
           CASE WHEN file LIKE '%_exc%' THEN 'exclusion' WHEN file LIKE '%_inc%' THEN 'inclusion' ELSE 'unknown' END AS criteria_type,
@@ -556,8 +675,9 @@ _SQL: dict[str, str] = {
     "write_csv": """
         SELECT sentence_id, regexp_extract(file, '^D[0-9]+') AS studyNCTid,
           CASE WHEN file LIKE '%_exc%' THEN 'exclusion' WHEN file LIKE '%_inc%' THEN 'inclusion' ELSE 'unknown' END AS criteria_type,
-          text, coalesce(n, 0) AS n
-        FROM inference LEFT JOIN (SELECT sentence_id, count(*) AS n FROM inference_ents GROUP BY sentence_id) USING (sentence_id)""",
+          text, coalesce(shown, '') AS entities
+        FROM inference LEFT JOIN (SELECT sentence_id, string_agg(concat_ws(',', type, word, start, "end"), ';' ORDER BY eo) AS shown
+          FROM inference_ents GROUP BY sentence_id) USING (sentence_id)""",
     "write_splits": "SELECT split, label AS labels, count(*) AS n FROM splits GROUP BY ALL",
     "read_split": "SELECT file, e1_id, e2_id, label AS labels FROM splits WHERE split = 'test'",
     "label_map_file": "SELECT id, label FROM re_map",

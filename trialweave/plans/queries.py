@@ -61,9 +61,11 @@ def criteria_counts(spark, sf):
 
 @query
 def read_studies(spark, sf):
+    """Files in the order of the table, so that the row number of a study is known."""
     path = scratch_path(spark, "studies")
-    bridge.studies(spark, sf).drop("study_row").write.csv(path, header=True, escape='"')
-    return src.read_studies(spark, path).drop("study_row")
+    ordered = bridge.studies(spark, sf).repartitionByRange("study_row").sortWithinPartitions("study_row")
+    ordered.drop("study_row").write.csv(path, header=True, escape='"')
+    return src.read_studies(spark, path)
 
 
 @query
@@ -117,17 +119,17 @@ def head_sentences(spark, sf):
 
 @query
 def read_corpus(spark, sf):
-    """One text file per document, read back whole."""
+    """One text file per document in a folder of its key, read back whole."""
     path = scratch_path(spark, "corpus")
-    bridge.texts(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return corpus.read_corpus(spark, path).select("text")
+    bridge.texts(spark, sf).select("file", "text").write.partitionBy("file").text(path)
+    return corpus.read_corpus(spark, path)
 
 
 @query
 def read_annotations(spark, sf):
     path = scratch_path(spark, "annotations")
-    inputs.documents(spark, sf).select("ann_text").write.option("maxRecordsPerFile", 1).text(path)
-    return corpus.read_annotations(spark, path, ".txt").select("ann_line", "line")
+    inputs.documents(spark, sf).select("file", "ann_text").write.partitionBy("file").text(path)
+    return corpus.read_annotations(spark, path, ".txt")
 
 
 @query
@@ -388,8 +390,9 @@ def build_vocab(spark, sf):
 
 @query
 def encode_tokens(spark, sf):
-    rows = inputs.tagged_lines(spark, sf).select("file", "line_no", "tokens")
-    vocab = tokens.build_vocab(rows, min_count=3)
+    """The whole vocabulary of the train split on all splits, whose other tokens are unknown."""
+    rows = inputs.tagger_rows(spark, sf).select("file", "line_no", "tokens", "split")
+    vocab = tokens.build_vocab(rows.where("split = 'train'"))
     return tokens.encode_tokens(rows, vocab, ["file", "line_no"]).select("file", "line_no", joined("input_ids").alias("input_ids"))
 
 
@@ -632,15 +635,26 @@ def _tagger_split(spark, sf, name):
 @query
 def train_tagger(spark, sf):
     """Tagger learned on train; its tags on the validation split, counted per truth and prediction."""
-    model = models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY, 1 << 10, 5)
+    model = models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY)
     found = models.predict_tags(model, _tagger_split(spark, sf, "validation"), inputs.ner_label_map(spark, sf), datasets.LINE_KEY)
     return metrics.token_pairs(found, "tags", "pred_tags")
 
 
 @query
 def evaluate_tagger(spark, sf):
-    model = models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY, 1 << 10, 5)
-    return models.evaluate_tagger(model, _tagger_split(spark, sf, "test"), inputs.ner_label_map(spark, sf), datasets.LINE_KEY)
+    model = models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY)
+    report = models.evaluate_tagger(model, _tagger_split(spark, sf, "test"), inputs.ner_label_map(spark, sf), datasets.LINE_KEY)
+    return rounded(report, "accuracy", "precision", "recall", "f1")
+
+
+ALPHAS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)
+
+
+@query
+def tune_tagger(spark, sf):
+    """The ten trials of the tagger's search."""
+    train, validation = (_tagger_split(spark, sf, name) for name in ("train", "validation"))
+    return rounded(models.tune_tagger(train, validation, datasets.LINE_KEY, ALPHAS)[1], "f1")
 
 
 def _pair_split(spark, sf, name):
@@ -651,22 +665,37 @@ def _pair_split(spark, sf, name):
 @query
 def train_relation_model(spark, sf):
     label_map = inputs.re_label_map(spark, sf)
-    model = models.train_relation_model(_pair_split(spark, sf, "train"), label_map, num_features=1 << 10, max_iter=5)
+    model = models.train_relation_model(_pair_split(spark, sf, "train"), label_map)
     found = models.predict_relations(model, _pair_split(spark, sf, "validation"), label_map)
     return found.groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
+def _relation_evaluation(spark, sf):
+    label_map = inputs.re_label_map(spark, sf)
+    model = models.train_relation_model(_pair_split(spark, sf, "train"), label_map)
+    return models.evaluate_relations(model, _pair_split(spark, sf, "test"), label_map)
+
+
 @query
 def evaluate_relations(spark, sf):
-    label_map = inputs.re_label_map(spark, sf)
-    model = models.train_relation_model(_pair_split(spark, sf, "train"), label_map, num_features=1 << 10, max_iter=5)
-    return models.evaluate_relations(model, _pair_split(spark, sf, "test"), label_map)[1]
+    return rounded(_relation_evaluation(spark, sf)[1], "precision", "recall", "f1")
+
+
+@query
+def evaluate_relations_overall(spark, sf):
+    return rounded(_relation_evaluation(spark, sf)[0], "accuracy", "f1", "precision", "recall")
+
+
+@query
+def evaluate_relations_matrix(spark, sf):
+    return rounded(_relation_evaluation(spark, sf)[2], "share")
 
 
 @query
 def tune(spark, sf):
-    grid = [{"num_features": 1 << 9, "max_iter": 3, "reg_param": r} for r in (1e-4, 1e-2)]
-    return models.tune(_pair_split(spark, sf, "train"), _pair_split(spark, sf, "validation"), inputs.re_label_map(spark, sf), grid)[1]
+    """The ten trials of the relation model's search."""
+    train, validation = (_pair_split(spark, sf, name) for name in ("train", "validation"))
+    return rounded(models.tune_relations(train, validation, inputs.re_label_map(spark, sf), ALPHAS)[1], "f1")
 
 
 # ---- sinks and sources ---------------------------------------------------------------------
@@ -694,8 +723,9 @@ def write_csv(spark, sf):
     """Sentences to CSV and back; the entity list travels as text."""
     path = scratch_path(spark, "csv")
     ds.write_csv(inputs.entity_sentences(spark, sf).drop("file", "line_no"), path)
+    shown = F.transform("entities", lambda e: F.concat_ws(",", e["entity_group"], e["word"], e["start"], e["end"]))
     return src.read_sentences(spark, path, "csv").select(
-        "sentence_id", "studyNCTid", "criteria_type", "text", F.size("entities").alias("n")
+        "sentence_id", "studyNCTid", "criteria_type", "text", F.array_join(shown, ";").alias("entities")
     )
 
 

@@ -80,12 +80,6 @@ def drop_tables() -> None:
             target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows and their partitions are fixed on shared storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input of fewer partitions than cores one partition per core.
 
