@@ -11,9 +11,9 @@ from trialweave.session import write_table
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, label), label being the smallest node that can be reached.
 
-    Each round takes the smallest label among a node and its neighbours, then jumps to the
-    label's own label, so the number of rounds grows with the logarithm of the longest
-    path. Labels are written each round. Sums over a node's neighbours are combined before
+    Each round takes the smallest label among a node and its neighbours, and of that node
+    the label it had before, so the number of rounds grows with the logarithm of the longest
+    path. Labels are written once a round. Sums over a node's neighbours are combined before
     they move; the joins are plain equi-joins that adaptive execution splits at hot nodes.
     """
     both = write_table(
@@ -21,17 +21,14 @@ def components(links: DataFrame) -> DataFrame:
     )
     labels = write_table(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
     while True:
-        seen = (
+        near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other")
             .groupBy("node")
             .agg(F.min("near").alias("near"))
         )
-        lowered = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lowered = write_table(lowered, "labels")
-        jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = write_table(
-            lowered.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels"
-        )
+        lowered = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        before = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
+        labels = write_table(lowered.join(before, "low").select("node", "old", F.least("low", "further").alias("label")), "labels")
         if not labels.where("old <> label").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -8,12 +8,13 @@ the same k-mers in another order. A candidate pair is a link if the word edit di
 computed on a band of diagonals, is at most (1 - similarity) of the longer text.
 
 Texts with the same words are one class and take part once. In each bucket of equal picks
-the smallest member is compared with all others; after that only members that are not yet
-connected are compared with each other, all of them, in blocks of bounded size. So no link
-between candidates is lost, and a bucket of thousands of near copies costs one comparison
-each. Pairs are dropped before the alignment only if lengths or word counts prove that the
-distance is too large. Groups are the connected components of the links; the row with the
-smallest id of a group stays.
+the smallest member is compared with all others. Members that are not connected after that
+are compared with each other in blocks of bounded size, first inside the blocks, then, where
+a bucket has several, between them; a pair is left out only if its sides are connected by
+then. So no link between candidates is lost, and a bucket of thousands of near copies costs
+a few comparisons each. Pairs are dropped before the alignment only if lengths or word
+counts prove that the distance is too large. Groups are the connected components of the
+links; the row with the smallest id of a group stays.
 
 A pair that shares no bucket is not found: with k-mer resemblance J that happens with
 probability of about (1 - J**PICKED) ** SKETCHES, 4e-8 at 0.8 and 4 % at 0.5.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +46,9 @@ K = 5
 SKETCHES = 24
 PICKED = 3
 SIMILARITY = 0.8
-#: Members of a bucket that are compared in one task at most (squared).
+#: Members of a bucket that are compared with each other in one task, on average.
 BLOCK = 1_024
 COUNTERS = 128
-#: Distances up to this are found by furthest reaching paths, longer ones row by row on the band.
-SHORT = 64
 
 _WORDS = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20_11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -116,33 +114,30 @@ def _sketch(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text_col):
-                sizes, same, picks, bags = [], [], [], []
+                sizes, same, picks = [], [], []
                 for text in part.column(text_col).to_pylist():
                     words = words_of(text)
                     sizes.append(len(words))
                     if not words:
-                        same.append(None), picks.append(None), bags.append(None)
+                        same.append(None), picks.append(None)
                         continue
                     same.append(hashlib.sha256(" ".join(words).encode("utf-8", "replace")).digest()[:16])
-                    hashes = hashes_of(words)
-                    picks.append(order_sketch(hashes))
-                    bags.append(np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 65_535).astype(np.uint16).tobytes())
+                    picks.append(order_sketch(hashes_of(words)))
                 yield pa.record_batch(
                     [
                         *part.columns,
                         pa.array(sizes, pa.int32()),
                         pa.array(same, pa.binary()),
                         pa.array(picks, pa.list_(pa.int64())),
-                        pa.array(bags, pa.binary()),
                     ],
-                    [*part.schema.names, "_words", "_same", "_picks", "_bag"],
+                    [*part.schema.names, "_words", "_same", "_picks"],
                 )
 
     return run
 
 
 def sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """Written: all columns, _rid, and per row the word count, class hash, picks and word counters."""
+    """Written: all columns, _rid, and per row the word count, class hash and picks."""
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
     schema = T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in rows.schema]
@@ -150,84 +145,60 @@ def sketched(docs: DataFrame, text_col: str) -> DataFrame:
             T.StructField("_words", T.IntegerType()),
             T.StructField("_same", T.BinaryType()),
             T.StructField("_picks", T.ArrayType(T.LongType())),
-            T.StructField("_bag", T.BinaryType()),
         ]
     )
     return write_table(map_arrow(rows, _sketch(text_col), schema), "near-sketch")
 
 
-def alignment_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Word edit distance if it is at most `limit`, else limit + 1. Looks at 2 * limit + 1 diagonals."""
+def alignment_distance(a: list[int], b: list[int], limit: int) -> int:
+    """Word edit distance if it is at most `limit`, else limit + 1.
+
+    Only the diagonals -limit .. limit of the alignment are computed, a whole column of the
+    band at a time: bits of two integers say where neighbouring rows differ by +1 and -1.
+    The band moves down one row per column. Cells outside count as one edit more than their
+    diagonal neighbour, which no path of `limit` edits needs.
+    """
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > limit:
-        return limit + 1
-    same = a == b[: len(a)]
-    head = int(np.argmin(same)) if not same.all() else len(a)
-    a, b = a[head:], b[head:]
-    if not len(a):
-        return len(b)
-    same = a[::-1] == b[::-1][: len(a)]
-    tail = int(np.argmin(same)) if not same.all() else len(a)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a):
-        return len(b)
-    found = _furthest(a, b, min(limit, SHORT))
-    return found if found is not None else limit + 1 if limit <= SHORT else _banded(a, b, limit)
-
-
-def _furthest(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Furthest reaching paths: for each distance, how far each diagonal gets."""
     n, m = len(a), len(b)
-    breaks: dict[int, list[int]] = {}
-
-    def slide(x: int, k: int) -> int:  # along diagonal k: a[x] against b[x + k]
-        if k not in breaks:
-            low, high = max(0, -k), min(n, m - k)
-            breaks[k] = (np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist() + [high]
-        row = breaks[k]
-        return max(x, row[bisect_left(row, x)]) if x < row[-1] else x
-
-    reach = {0: slide(0, 0)}
-    for d in range(limit + 1):
-        if reach.get(m - n, -1) >= n:
-            return d
-        if d == limit:
-            break
-        after = {}
-        for k in range(-d - 1, d + 2):
-            x = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
-            x = min(x, n, m - k)
-            if x >= 0 and x + k >= 0:
-                after[k] = slide(x, k)
-        reach = after
-    return None
-
-
-def _banded(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Row by row on the diagonals -limit .. limit; the in-row step is a running minimum."""
+    if m - n > limit:
+        return limit + 1
+    head = 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    while n > head and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[head:n], b[head:m]
     n, m = len(a), len(b)
-    width = 2 * limit + 1
-    far = limit + 1
-    offsets = np.arange(width)
-    row = np.where(offsets >= limit, offsets - limit, far)  # row 0: column j = offset - limit
-    padded = np.full(n + m + 2 * width, np.uint64(0), np.uint64)
-    padded[limit : limit + m] = b
-    for i in range(1, n + 1):
-        # Column of offset o is i + o - limit; b[column - 1] sits at padded[i + o - 1].
-        column = i + offsets - limit
-        differs = (padded[i - 1 : i - 1 + width] != a[i - 1]) | (column < 1) | (column > m)
-        down = np.concatenate([row[1:], [far]]) + 1
-        now = np.minimum(row + differs, down)
-        if i <= limit:
-            now[limit - i] = i
-        now[(column < 0) | (column > m)] = far
-        now = np.minimum.accumulate(now - offsets) + offsets
-        row = np.minimum(now, far)
-        row[(column < 0) | (column > m)] = far
-        if row.min() > limit:
-            return far
-    return int(row[m - n + limit]) if 0 <= m - n + limit < width else far
+    if not n:
+        return m if m <= limit else limit + 1
+    rows: dict[int, int] = {}
+    for i, word in enumerate(a):
+        rows[word] = rows.get(word, 0) | 1 << i
+    full = (1 << 2 * limit + 1) - 1
+    middle = 1 << limit
+    # Bit k of column j stands for row j - limit + k; rows are counted from 1.
+    up, down = full & ~(middle - 1), 0
+    value = 0
+    for j in range(1, m + 1):
+        shift = j - limit - 1
+        match = rows.get(b[j - 1], 0)
+        match = (match >> shift if shift >= 0 else match << -shift) & full
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right_up = (down | ~(diagonal | up)) & full
+        right_down = diagonal & up
+        if j <= n:
+            value += not diagonal & middle
+            # The rest of the path makes up for the difference in length at most.
+            if value - (m - n) > limit:
+                return limit + 1
+        else:
+            at = n - j + limit
+            value += (right_up >> at & 1) - (right_down >> at & 1)
+        diagonal = (diagonal & full) >> 1
+        up = (right_down | ~(diagonal | right_up)) & full
+        down = diagonal & right_up
+    return value if value <= limit else limit + 1
 
 
 def allowed_edits(n_a: int, n_b: int, similarity: float) -> int:
@@ -238,11 +209,11 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            last: tuple[int, np.ndarray] | None = None
+            last: tuple[int, list[int]] | None = None
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                 if last is None or last[0] != a:
-                    last = (a, hashes_of(words_of(ta)))
-                one, two = last[1], hashes_of(words_of(tb))
+                    last = (a, hashes_of(words_of(ta)).tolist())
+                one, two = last[1], hashes_of(words_of(tb)).tolist()
                 limit = allowed_edits(len(one), len(two), similarity)
                 good.append(alignment_distance(one, two, limit) <= limit)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -250,94 +221,125 @@ def _verify(similarity: float):
     return run
 
 
-def _cross_pairs(similarity: float):
-    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of unconnected members between block i and block j that lengths and word counts don't rule out."""
-        _, i, j = key
-        left = members[members["_block"] == i]
-        right = left if i == j else members[members["_block"] == j]
-        bags = np.stack([np.frombuffer(x, np.uint16) for x in right["_bag"]]).astype(np.int32) if len(right) else None
-        ids, comps, sizes = (right[c].to_numpy() for c in ("node", "label", "_words"))
-        out_a, out_b = [], []
-        for node, label, size, bag in zip(left["node"], left["label"], left["_words"], left["_bag"], strict=True):
-            if not len(ids):
-                break
-            limit = np.floor((1 - similarity) * np.maximum(sizes, size) + 1e-9)
-            maybe = (comps != label) & (np.abs(sizes - size) <= limit) & ((ids > node) if i == j else True)
-            at = np.flatnonzero(maybe)
-            if len(at):
-                # One edit moves the counters by two at most.
-                apart = np.abs(bags[at] - np.frombuffer(bag, np.uint16).astype(np.int32)).sum(axis=1)
-                at = at[apart <= 2 * limit[at]]
-                low = np.minimum(ids[at], node)
-                out_a.append(low), out_b.append(ids[at] + node - low)
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as word codes and word counters, for comparisons inside a block."""
+    for batch in batches:
+        codes, bags = [], []
+        for text in batch.column("text").to_pylist():
+            hashes = hashes_of(words_of(text))
+            codes.append((hashes >> np.uint64(32)).astype(np.uint32).tobytes())
+            bags.append(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32).tobytes())
+        yield pa.record_batch([batch.column("node"), pa.array(codes, pa.binary()), pa.array(bags, pa.binary())], ["node", "codes", "bag"])
+
+
+def link_block(members: pd.DataFrame, similarity: float, across: bool = False) -> list[tuple[int, int]]:
+    """Links that connect the unconnected members of a block, enough to span its components.
+
+    Members join one after the other. Each is compared with every other component member by
+    member until a link is found, so a pair is left out only if its sides are connected
+    already. `across` compares members of different `_block` only.
+    """
+    ids, sizes = members["node"].to_numpy(), members["_words"].to_numpy()
+    sides = members["_block"].to_numpy()
+    bags = np.stack([np.frombuffer(x, np.uint32) for x in members["bag"]]).astype(np.int32)
+    texts = [np.frombuffer(x, np.uint32).tolist() for x in members["codes"]]
+    parent: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while parent.setdefault(label, label) != label:
+            parent[label] = parent[parent[label]]
+            label = parent[label]
+        return label
+
+    parts: dict[int, list[int]] = {}
+    links = []
+    for x, label in enumerate(members["label"].tolist()):
+        own = root(label)
+        for other in sorted(parts, key=lambda p: -len(parts[p])):
+            if other == own or other not in parts:
+                continue
+            at = np.array(parts[other])
+            limit = np.floor((1 - similarity) * np.maximum(sizes[at], sizes[x]) + 1e-9).astype(np.int64)
+            # One edit moves the counters by two at most.
+            near = (np.abs(sizes[at] - sizes[x]) <= limit) & (np.abs(bags[at] - bags[x]).sum(axis=1) <= 2 * limit)
+            if across:
+                near &= sides[at] != sides[x]
+            for y, most in zip(at[near].tolist(), limit[near].tolist(), strict=True):
+                if alignment_distance(texts[x], texts[y], most) <= most:
+                    links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+                    parent[other] = own
+                    parts.setdefault(own, []).extend(parts.pop(other))
+                    break
+        parts.setdefault(own, []).append(x)
+    return links
+
+
+def _link_blocks(similarity: float, across: bool):
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(link_block(members, similarity, across), columns=["a", "b"]).astype(np.int64)
 
     return run
 
 
 def near_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between class representatives, and the components over them.
+    """Links (a, b) that span the groups of class representatives, and the components over them.
 
-    `classes`: written, node, _words, _picks, _bag. `texts`: node, text.
+    `classes`: written, node, _words, _picks. `texts`: node, text.
     """
     picks = classes.select("node", "_words", F.posexplode("_picks").alias("_j", "_pick")).select(
         "node", "_words", F.xxhash64("_j", "_pick").alias("bucket")
     )
-    shared = picks.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("node").alias("leader")).where("_n > 1")
-    members = write_table(picks.join(shared, "bucket").select("bucket", "node", "_words", "leader", "_n"), "near-members")
-    involved = members.select("node").distinct()
-    wanted = write_table(texts.join(involved, "node", "left_semi"), "near-texts")
+    shared = picks.groupBy("bucket").agg(F.count("*").alias("_n"), F.min(F.struct("node", "_words")).alias("_leader")).where("_n > 1")
+    members = write_table(
+        picks.join(shared, "bucket").select(
+            "bucket", "node", "_words", F.col("_leader.node").alias("leader"), F.col("_leader._words").alias("_leader_words"), "_n"
+        ),
+        "near-members",
+    )
+    wanted = write_table(texts.join(members.select("node").distinct(), "node", "left_semi"), "near-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = wanted.toDF("a", "ta")
-        right = wanted.toDF("b", "tb")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return map_arrow(both, _verify(similarity), "a long, b long")
+        both = pairs.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return write_table(map_arrow(both, _verify(similarity), "a long, b long"), "near-links")
 
-    sizes = classes.select(F.col("node").alias("leader"), F.col("_words").alias("_leader_words"))
+    # First the smallest member of a bucket against all others.
     close = F.abs(F.col("_words") - F.col("_leader_words")) <= F.floor(
         F.lit(1 - similarity) * F.greatest("_words", "_leader_words") + 1e-9
     )
-    star = (
-        members.where("node <> leader")
-        .select(F.col("leader"), "node", "_words")
-        .distinct()
-        .join(sizes, "leader")
-        .where(close)
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    )
-    first = write_table(verified(star), "near-links")
-    labels = components(first)
-
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = write_table(labelled, "near-labelled")
-    open_buckets = (
-        labelled.groupBy("bucket")
-        .agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_all"))
-        .where("_low <> _high AND _all > 2")
-        .select("bucket", F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks"))
-    )
-    blocks = (
-        labelled.where("node <> leader")
-        .join(open_buckets, "bucket")
-        .withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-        .withColumn("_peer", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("_i", F.least("_block", "_peer"))
-        .withColumn("_j", F.greatest("_block", "_peer"))
-        .join(classes.select("node", "_bag"), "node")
-        .select("bucket", "_i", "_j", "_block", "node", "label", "_words", "_bag")
-    )
-    crossing = blocks.groupBy("bucket", "_i", "_j").applyInPandas(_cross_pairs(similarity), "a long, b long").distinct()
-    second = write_table(verified(crossing), "near-links")
-    links = first.union(second)
-    return links, components(links) if second.limit(1).count() else labels
+    star = members.where((F.col("node") != F.col("leader")) & close).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = verified(star.distinct())
+    # Then whoever is not connected yet: inside blocks of a bucket, and between the blocks of what is left.
+    for across in (False, True):
+        labels = components(links)
+        labelled = members.where("node <> leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        opened = (
+            labelled.groupBy("bucket")
+            .agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.first("_n") / BLOCK).cast("int").alias("_blocks"))
+            .where("_low <> _high" + (" AND _blocks > 1" if across else ""))
+            .select("bucket", "_blocks")
+        )
+        rows = write_table(
+            labelled.join(opened, "bucket").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")), "near-open"
+        )
+        if not rows.limit(1).count():
+            break
+        codes = write_table(map_arrow(wanted.join(rows.select("node").distinct(), "node", "left_semi"), _encode, "node long, codes binary, bag binary"), "near-codes")
+        if across:
+            rows = rows.withColumn("_peer", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_peer <> _block")
+            rows = rows.withColumn("_i", F.least("_block", "_peer")).withColumn("_j", F.greatest("_block", "_peer"))
+        else:
+            rows = rows.withColumn("_i", F.col("_block")).withColumn("_j", F.col("_block"))
+        blocks = rows.join(codes, "node").select("bucket", "_i", "_j", "_block", "node", "label", "_words", "codes", "bag")
+        found = blocks.groupBy("bucket", "_i", "_j").applyInPandas(_link_blocks(similarity, across), "a long, b long").distinct()
+        # Codes have 32 bits; whole words decide.
+        links = write_table(links.union(verified(found)), "near-links")
+    else:
+        labels = components(links)
+    return links, labels
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame, Column]:
-    """The written rows; per class: class_id, keep (the row that stays), group_size, n_links; the class column."""
+    """The written rows; per class: class_id, keep (the row that stays), group_size; the class column."""
     rows = sketched(docs, text_col)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_rid").alias("rid"))
     same = F.coalesce("_same", F.encode(F.concat(F.lit("row "), F.col("_rid")), "utf-8"))
@@ -345,39 +347,34 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> t
     representatives = elected.select("_class", F.col("_first.rid").alias("_rid"))
     classes = write_table(
         rows.where("_picks IS NOT NULL")
-        .select("_rid", "_words", "_picks", "_bag")
+        .select("_rid", "_words", "_picks")
         .join(representatives.select("_rid"), "_rid", "left_semi")
         .withColumnRenamed("_rid", "node"),
         "near-representatives",
     )
     texts = rows.where("_picks IS NOT NULL").select(F.col("_rid").alias("node"), F.col(text_col).alias("text"))
-    links, labels = near_links(classes, texts, similarity)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("_rid")).agg(F.count("*").alias("n_links"))
+    _, labels = near_links(classes, texts, similarity)
     # class -> component -> the smallest id in it
     placed = (
         elected.withColumn("_rid", F.col("_first.rid"))
         .join(labels.select(F.col("node").alias("_rid"), "label"), "_rid", "left")
-        .join(degree, "_rid", "left")
-        .select("_class", "_first", "_size", F.coalesce("label", "_rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("_class", "_first", "_size", F.coalesce("label", "_rid").alias("label"))
     )
     groups = placed.groupBy("label").agg(F.min("_first").alias("_top"), F.sum("_size").alias("group_size"))
     by_class = write_table(
-        placed.join(groups, "label").select("_class", F.col("_top.id").alias("class_id"), F.col("_top.rid").alias("keep"), "group_size", "n_links"),
+        placed.join(groups, "label").select("_class", F.col("_top.id").alias("class_id"), F.col("_top.rid").alias("keep"), "group_size"),
         "near-groups",
     )
     return rows, by_class, same
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, class_id (id of the row that stays), group_size, n_links, kept.
-
-    n_links counts the verified links of the row's class to other classes.
-    """
+    """One row per input row: id, class_id (id of the row that stays), group_size, kept."""
     rows, by_class, same = _groups(docs.select(id_col, text_col), id_col, text_col, similarity)
     return (
         rows.select(id_col, "_rid", same.alias("_class"))
         .join(by_class, "_class")
-        .select(id_col, "class_id", "group_size", "n_links", (F.col("_rid") == F.col("keep")).alias("kept"))
+        .select(id_col, "class_id", "group_size", (F.col("_rid") == F.col("keep")).alias("kept"))
     )
 
 
