@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from trialweave.llm import near_dedup as nd
 from trialweave.llm.components import components
@@ -24,17 +26,16 @@ def test_alignment_equals_edit_distance():
             at = rng.randint(0, len(b))
             b[at : at + rng.randint(0, 2)] = [rng.randint(1, 5) for _ in range(rng.randint(0, 2))]
         limit = rng.randint(0, 12)
-        x, y = (np.array(v, np.uint64) for v in (a, b))
-        assert nd.alignment_distance(x, y, limit) == min(levenshtein(a, b), limit + 1)
-        if a and b and len(a) <= len(b) <= len(a) + limit:
-            assert nd._banded(x, y, limit) == min(levenshtein(a, b), limit + 1)
+        assert nd.alignment_distance(a, b, limit) == min(levenshtein(a, b), limit + 1)
 
 
-def test_long_distances_use_the_band():
+def test_long_distances():
     rng = random.Random(5)
     a = [rng.randint(1, 9) for _ in range(500)]
     b = [w if rng.random() > 0.18 else rng.randint(1, 9) for w in a]
-    assert nd.alignment_distance(np.array(a, np.uint64), np.array(b, np.uint64), 100) == min(levenshtein(a, b), 101)
+    for limit in (40, 70, 100, 300):
+        assert nd.alignment_distance(a, b, limit) == min(levenshtein(a, b), limit + 1)
+        assert nd.alignment_distance(a, b[7:] + [1] * 3, limit) == min(levenshtein(a, b[7:] + [1] * 3), limit + 1)
 
 
 def test_sketch_is_sensitive_to_order():
@@ -84,25 +85,43 @@ def test_groups_equal_all_pairs(spark):
     assert got == brute_groups(rows)
 
 
-def test_links_between_members_that_the_leader_is_not_linked_to(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1, 2, 1_024])
+def test_links_between_members_that_the_leader_is_not_linked_to(spark, monkeypatch, block):
     """All texts share one bucket; only pairs that exclude the smallest id are similar."""
-    monkeypatch.setattr(nd, "BLOCK", 2)
+    monkeypatch.setattr(nd, "BLOCK", block)
     common = [f"s{i}" for i in range(30)]
     first = common + [f"a{i}" for i in range(30)]
     second = common + [f"b{i}" for i in range(30)]
-    close = second[:-1] + ["z"]
-    rows = [(0, " ".join(first)), (1, " ".join(second)), (2, " ".join(close))]
-    classes = spark.createDataFrame(
+    rows = [(0, " ".join(first))] + [(i, " ".join(second[: -i - 1] + [f"z{i}"])) for i in range(1, 6)]
+    classes = spark.createDataFrame([(i, len(t.split()), [7] * 3) for i, t in rows], "node long, _words int, _picks array<long>")
+    links, labels = nd.near_links(classes, spark.createDataFrame(rows, "node long, text string"))
+    assert {r.node: r.label for r in labels.collect()} == {i: 1 for i in range(1, 6)}
+    assert all(r.a > 0 for r in links.collect())
+
+
+def test_block_links_span_all_components():
+    rng = random.Random(8)
+    rows = corpus(rng, 6, 8)
+    words = {i: nd.words_of(t) for i, t in rows}
+    codes = {i: nd.hashes_of(w) for i, w in words.items()}
+    members = pd.DataFrame(
         [
-            (i, len(t.split()), [7] * 3, bytearray(np.bincount((nd.hashes_of(t.split()) >> np.uint64(40)).astype(int) % nd.COUNTERS, minlength=nd.COUNTERS).astype(np.uint16).tobytes()))
-            for i, t in rows
+            (i, i, len(w), i % 3, (codes[i] >> np.uint64(32)).astype(np.uint32).tobytes())
+            for i, w in words.items()
         ],
-        "node long, _words int, _picks array<long>, _bag binary",
+        columns=["node", "label", "_words", "_block", "codes"],
     )
-    texts = spark.createDataFrame(rows, "node long, text string")
-    links, labels = nd.near_links(classes, texts)
-    assert {(r.a, r.b) for r in links.collect()} == {(1, 2)}
-    assert {r.node: r.label for r in labels.collect()} == {1: 1, 2: 1}
+    parent = {i: i for i in words}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in nd.link_block(members, nd.SIMILARITY):
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert {i: root(i) for i in words} == brute_groups(rows)
 
 
 def test_components_of_a_path_and_a_star(spark):

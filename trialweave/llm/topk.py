@@ -13,7 +13,8 @@ most, which one ranking per query merges.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do
 rows without an id, which could not be named. Components that a shorter vector lacks count
-as zero. Rows that repeat an id are rows of their own: only the query's own row is left out.
+as zero; scores beyond a long are held at its ends. Rows that repeat an id are rows of their
+own: only the query's own row is left out.
 An empty table gives an empty result. Other columns are not read.
 """
 
