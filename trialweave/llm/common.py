@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def text_slices(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.Re
         yield batch
         return
     start, held = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, size in enumerate(lengths):
         if held and held + size > SLICE_BYTES:
             yield batch.slice(start, i - start)
