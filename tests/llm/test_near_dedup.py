@@ -106,10 +106,10 @@ def test_block_links_span_all_components():
     codes = {i: nd.hashes_of(w) for i, w in words.items()}
     members = pd.DataFrame(
         [
-            (i, i, len(w), i % 3, (codes[i] >> np.uint64(32)).astype(np.uint32).tobytes())
+            (i, i, len(w), i % 3, (codes[i] >> np.uint64(32)).astype(np.uint32).tobytes(), 0, [1, 2])
             for i, w in words.items()
         ],
-        columns=["node", "label", "_words", "_block", "codes"],
+        columns=["node", "label", "_words", "_block", "codes", "_j", "_picks"],
     )
     parent = {i: i for i in words}
 

@@ -47,8 +47,8 @@ SKETCHES = 24
 PICKED = 3
 SIMILARITY = 0.8
 #: Members of a bucket that are compared with each other in one task, on average.
-BLOCK = 1_024
-COUNTERS = 128
+BLOCK = 256
+COUNTERS = 2_048
 
 _WORDS = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20_11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -222,27 +222,32 @@ def _verify(similarity: float):
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as word codes and word counters, for comparisons inside a block."""
+    """Texts as word codes, for comparisons inside a block."""
     for batch in batches:
-        codes, bags = [], []
-        for text in batch.column("text").to_pylist():
-            hashes = hashes_of(words_of(text))
-            codes.append((hashes >> np.uint64(32)).astype(np.uint32).tobytes())
-            bags.append(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32).tobytes())
-        yield pa.record_batch([batch.column("node"), pa.array(codes, pa.binary()), pa.array(bags, pa.binary())], ["node", "codes", "bag"])
+        hashes = (hashes_of(words_of(t)) for t in batch.column("text").to_pylist())
+        codes = pa.array([(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in hashes], pa.binary())
+        yield pa.record_batch([batch.column("node"), codes], ["node", "codes"])
+
+
+def word_counters(codes: np.ndarray) -> np.ndarray:
+    """How often words occur, in COUNTERS cells; one edit changes two cells by one at most."""
+    return np.minimum(np.bincount(codes % COUNTERS, minlength=COUNTERS), 32_767).astype(np.int16)
 
 
 def link_block(members: pd.DataFrame, similarity: float, across: bool = False) -> list[tuple[int, int]]:
     """Links that connect the unconnected members of a block, enough to span its components.
 
-    Members join one after the other. Each is compared with every other component member by
-    member until a link is found, so a pair is left out only if its sides are connected
-    already. `across` compares members of different `_block` only.
+    Members join one after the other. Each is compared with those before it, members of the
+    largest component first; a pair is left out only if its sides are connected already. `across` compares members of different `_block` only. Members that share several
+    buckets are compared in the first of them (`_j` is the bucket's hash function).
     """
     ids, sizes = members["node"].to_numpy(), members["_words"].to_numpy()
     sides = members["_block"].to_numpy()
-    bags = np.stack([np.frombuffer(x, np.uint32) for x in members["bag"]]).astype(np.int32)
-    texts = [np.frombuffer(x, np.uint32).tolist() for x in members["codes"]]
+    codes = [np.frombuffer(x, np.uint32) for x in members["codes"]]
+    bags = np.stack([word_counters(x) for x in codes])
+    texts = [x.tolist() for x in codes]
+    picks = np.stack(members["_picks"].to_numpy())
+    own_pick = int(members["_j"].iloc[0])
     parent: dict[int, int] = {}
 
     def root(label: int) -> int:
@@ -251,26 +256,24 @@ def link_block(members: pd.DataFrame, similarity: float, across: bool = False) -
             label = parent[label]
         return label
 
-    parts: dict[int, list[int]] = {}
+    labels = members["label"].tolist()
+    held: dict[int, int] = {}  # members so far per component
     links = []
-    for x, label in enumerate(members["label"].tolist()):
-        own = root(label)
-        for other in sorted(parts, key=lambda p: -len(parts[p])):
-            if other == own or other not in parts:
-                continue
-            at = np.array(parts[other])
-            limit = np.floor((1 - similarity) * np.maximum(sizes[at], sizes[x]) + 1e-9).astype(np.int64)
-            # One edit moves the counters by two at most.
-            near = (np.abs(sizes[at] - sizes[x]) <= limit) & (np.abs(bags[at] - bags[x]).sum(axis=1) <= 2 * limit)
-            if across:
-                near &= sides[at] != sides[x]
-            for y, most in zip(at[near].tolist(), limit[near].tolist(), strict=True):
-                if alignment_distance(texts[x], texts[y], most) <= most:
-                    links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
-                    parent[other] = own
-                    parts.setdefault(own, []).extend(parts.pop(other))
-                    break
-        parts.setdefault(own, []).append(x)
+    for x, label in enumerate(labels):
+        limit = np.floor((1 - similarity) * np.maximum(sizes[:x], sizes[x]) + 1e-9).astype(np.int64)
+        near = np.abs(sizes[:x] - sizes[x]) <= limit
+        near &= (picks[:x] == picks[x]).argmax(axis=1) == own_pick
+        if across:
+            near &= sides[:x] != sides[x]
+        at = np.flatnonzero(near)
+        at = at[np.abs(bags[at] - bags[x]).sum(axis=1, dtype=np.int64) <= 2 * limit[at]]
+        for y in sorted(at.tolist(), key=lambda y: -held[root(labels[y])]):
+            own, other = root(label), root(labels[y])
+            if own != other and alignment_distance(texts[x], texts[y], int(limit[y])) <= limit[y]:
+                links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+                parent[other] = own
+                held[own] = held.get(own, 0) + held.pop(other)
+        held[root(label)] = held.get(root(label), 0) + 1
     return links
 
 
@@ -287,12 +290,12 @@ def near_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     `classes`: written, node, _words, _picks. `texts`: node, text.
     """
     picks = classes.select("node", "_words", F.posexplode("_picks").alias("_j", "_pick")).select(
-        "node", "_words", F.xxhash64("_j", "_pick").alias("bucket")
+        "node", "_words", "_j", F.xxhash64("_j", "_pick").alias("bucket")
     )
     shared = picks.groupBy("bucket").agg(F.count("*").alias("_n"), F.min(F.struct("node", "_words")).alias("_leader")).where("_n > 1")
     members = write_table(
         picks.join(shared, "bucket").select(
-            "bucket", "node", "_words", F.col("_leader.node").alias("leader"), F.col("_leader._words").alias("_leader_words"), "_n"
+            "bucket", "_j", "node", "_words", F.col("_leader.node").alias("leader"), F.col("_leader._words").alias("_leader_words"), "_n"
         ),
         "near-members",
     )
@@ -323,14 +326,16 @@ def near_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         )
         if not rows.limit(1).count():
             break
-        codes = write_table(map_arrow(wanted.join(rows.select("node").distinct(), "node", "left_semi"), _encode, "node long, codes binary, bag binary"), "near-codes")
+        alone = rows.select("node").distinct()
+        codes = map_arrow(wanted.join(alone, "node", "left_semi"), _encode, "node long, codes binary")
+        codes = write_table(codes.join(classes.select("node", "_picks"), "node"), "near-codes")
         if across:
             rows = rows.withColumn("_peer", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_peer <> _block")
-            rows = rows.withColumn("_i", F.least("_block", "_peer")).withColumn("_j", F.greatest("_block", "_peer"))
+            rows = rows.withColumn("_low", F.least("_block", "_peer")).withColumn("_high", F.greatest("_block", "_peer"))
         else:
-            rows = rows.withColumn("_i", F.col("_block")).withColumn("_j", F.col("_block"))
-        blocks = rows.join(codes, "node").select("bucket", "_i", "_j", "_block", "node", "label", "_words", "codes", "bag")
-        found = blocks.groupBy("bucket", "_i", "_j").applyInPandas(_link_blocks(similarity, across), "a long, b long").distinct()
+            rows = rows.withColumn("_low", F.col("_block")).withColumn("_high", F.col("_block"))
+        blocks = rows.join(codes, "node").select("bucket", "_low", "_high", "_j", "_block", "node", "label", "_words", "codes", "_picks")
+        found = blocks.groupBy("bucket", "_low", "_high").applyInPandas(_link_blocks(similarity, across), "a long, b long").distinct()
         # Codes have 32 bits; whole words decide.
         links = write_table(links.union(verified(found)), "near-links")
     else:
