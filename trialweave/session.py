@@ -64,7 +64,7 @@ def write_table(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _TABLES:
         atexit.register(drop_tables)
     _TABLES.append((spark.sparkContext._jvm, path))
