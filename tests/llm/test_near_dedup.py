@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from trialweave.llm import near_dedup as nd
-from trialweave.llm.components import components
+from trialweave.llm.components import components, merge_labels
 
 
 def levenshtein(a, b):
@@ -130,6 +130,16 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(30)}
 
 
+def test_merged_labels_are_those_of_all_links(spark):
+    rng = random.Random(9)
+    pairs = [tuple(sorted(rng.sample(range(60), 2))) for _ in range(50)]
+    df = lambda some: spark.createDataFrame(some, "a long, b long")
+    want = {r.node: r.label for r in components(df(pairs)).collect()}
+    got = merge_labels(components(df(pairs[:30])), df(pairs[30:]))
+    assert {r.node: r.label for r in got.collect()} == want
+    assert merge_labels(components(df([])), df(pairs)).count() == len(want)
+
+
 def test_stage_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text, "x"), (2, text + " end", "y"), (9, "other words", None)], "doc_id long, text string, _rid string")

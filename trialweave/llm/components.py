@@ -32,3 +32,17 @@ def components(links: DataFrame) -> DataFrame:
         if not labels.where("old <> label").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only the components that a link joins are labelled anew."""
+    of = lambda side: labels.toDF(side, f"{side}_label")
+    between = (
+        links.join(of("a"), "a", "left")
+        .join(of("b"), "b", "left")
+        .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    )
+    joined = components(between.where("a <> b"))
+    renamed = joined.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    kept = labels.join(renamed, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return write_table(kept.unionByName(joined.join(labels, "node", "left_anti")), "labels")

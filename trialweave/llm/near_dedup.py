@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialweave.llm.common import map_arrow, text_slices
-from trialweave.llm.components import components
+from trialweave.llm.components import components, merge_labels
 from trialweave.session import write_table
 
 K = 5
@@ -311,9 +311,9 @@ def near_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     )
     star = members.where((F.col("node") != F.col("leader")) & close).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = verified(star.distinct())
+    labels = components(links)
     # Then whoever is not connected yet: inside blocks of a bucket, and between the blocks of what is left.
     for across in (False, True):
-        labels = components(links)
         labelled = members.where("node <> leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         opened = (
             labelled.groupBy("bucket")
@@ -337,9 +337,8 @@ def near_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         blocks = rows.join(codes, "node").select("bucket", "_low", "_high", "_j", "_block", "node", "label", "_words", "codes", "_picks")
         found = blocks.groupBy("bucket", "_low", "_high").applyInPandas(_link_blocks(similarity, across), "a long, b long").distinct()
         # Codes have 32 bits; whole words decide.
-        links = write_table(links.union(verified(found)), "near-links")
-    else:
-        labels = components(links)
+        more = verified(found)
+        links, labels = links.union(more), merge_labels(labels, more)
     return links, labels
 
 
