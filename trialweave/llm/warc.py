@@ -62,27 +62,30 @@ def warc_records(
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"),
         record_bytes(F.col(id_col), F.col(url_col), F.col(html_col)).alias("record"),
     ).withColumn("_digest", F.sha2("record", 256))
-    order = [F.col("record_id").asc_nulls_first(), "_url", "_digest"]
-    # Ties share a digest, that is, they are the same record; a salt lets them spread.
-    salted = rendered.withColumn("_salt", F.monotonically_increasing_id())
+    # The pages are moved once, by the join; sorting and numbering see narrow rows. Ties share a
+    # digest, that is, they are the same record; a salt lets them spread.
+    whole = write_table(rendered.withColumn("_salt", F.monotonically_increasing_id()).drop("_html"), "warc-rendered")
+    order = [F.col("record_id").asc_nulls_first(), "_url", "_digest", "_salt"]
     placed = write_table(
-        salted.repartitionByRange(*order, "_salt")
-        .sortWithinPartitions(*order, "_salt")
-        .select(
-            "record_id", "record", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")
-        ),
+        whole.select("record_id", "_url", "_digest", "_salt", F.octet_length("record").cast("bigint").alias("length"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("_salt", "length", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")),
         "warc-placed",
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    narrow = placed.select("_part", "_pos", F.octet_length("record").cast("bigint").alias("length")).join(F.broadcast(starts.select("_part", "_first")), "_part")
-    numbered = narrow.withColumn("_at", F.col("_first") + F.col("_pos")).withColumn("archive", F.expr(f"_at div {archive_rows}"))
+    numbered = (
+        placed.join(F.broadcast(starts.select("_part", "_first")), "_part")
+        .withColumn("_at", F.col("_first") + F.col("_pos"))
+        .withColumn("archive", F.expr(f"_at div {archive_rows}"))
+    )
     inside = Window.partitionBy("archive").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = numbered.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     return write_table(
-        placed.join(offsets.select("_part", "_pos", "archive", "offset", "length"), ["_part", "_pos"]).select(
-            "archive", "offset", "length", "record_id", "record"
-        ),
+        whole.select("_salt", "record_id", "record")
+        .join(offsets.select("_salt", "archive", "offset", "length"), "_salt")
+        .select("archive", "offset", "length", "record_id", "record"),
         "warc-records",
     )
 
