@@ -84,6 +84,7 @@ def warc_records(
     offsets = numbered.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     return write_table(
         whole.select("_salt", "record_id", "record")
+        .hint("merge")  # the layout grows with the pages, so it is never broadcast
         .join(offsets.select("_salt", "archive", "offset", "length"), "_salt")
         .select("archive", "offset", "length", "record_id", "record"),
         "warc-records",
