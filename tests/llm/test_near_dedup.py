@@ -140,6 +140,40 @@ def test_merged_labels_are_those_of_all_links(spark):
     assert merge_labels(components(df([])), df(pairs)).count() == len(want)
 
 
+def edited(rng, words, share, evenly):
+    """A copy with floor(share * words) words replaced."""
+    edits = int(share * len(words) + 1e-9)
+    places = [(2 * i + 1) * len(words) // (2 * edits) for i in range(edits)] if evenly else rng.sample(range(len(words)), edits)
+    out = list(words)
+    for at in places:
+        out[at] = f"x{rng.randint(0, 10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 6, 10, 20, 40, 120, 400])
+@pytest.mark.parametrize("share", [0.08, 0.1, 0.15, 0.2])
+@pytest.mark.parametrize("evenly", [False, True])
+def test_scattered_edits_up_to_the_threshold_are_candidates(size, share, evenly):
+    rng = random.Random(f"{size} {share}")
+    found = 0
+    for _ in range(200):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(size)]
+        a, b = (nd.picks_of(nd.hashes_of(w)) for w in (words, edited(rng, words, share, evenly)))
+        found += bool((a == b).any())
+    assert found >= 196
+
+
+def test_links_at_the_threshold(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, size in enumerate([5, 7, 12, 25, 33, 60, 150, 300] * 5):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(size)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, 0.2, i % 2)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_groups(docs).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_stage_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text, "x"), (2, text + " end", "y"), (9, "other words", None)], "doc_id long, text string, _rid string")
