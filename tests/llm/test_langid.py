@@ -59,6 +59,17 @@ def test_mixed_text_gets_spans(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 5] and kept.columns == ["doc_id", "text", "lang_pred"]
 
 
+def test_stage_keeps_texts_of_many_languages(spark):
+    more = {"el": "και το σπίτι", "he": "שלום עולם טוב", "th": "ภาษา ไทย ดี"}
+    docs = corpus() + [(1_000 + i, text, lang) for lang, text in more.items() for i in range(20)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    mixed = "der hund nicht the cat with кошка и собака και το σπίτι שלום עולם טוב ภาษา ไทย ดี"
+    rows = spark.createDataFrame([(1, mixed), (2, "12 !"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(rows, model).collect()}
+    assert got[1].lang_pred != langid.UND and got[1].score < 0.3
+    assert [r.doc_id for r in langid.keep_identified(rows, model).collect()] == [1]
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     text = " ".join(EN * 40)
     whole = langid.words_of(text)

@@ -321,8 +321,8 @@ def _judge(broadcast, switch: float, min_score: float, text_at: int):
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.3, switch: float = SWITCH) -> DataFrame:
-    """The rows whose language is found, with all their columns; one pass, no join."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0, switch: float = SWITCH) -> DataFrame:
+    """The rows whose language is found, with all their columns; one pass, no join. `min_score` rejects more."""
     safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     run = _judge(broadcast, switch, min_score, docs.columns.index(text_col))
