@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from trialweave.llm import langid
 
@@ -70,6 +71,15 @@ def test_stage_keeps_texts_of_many_languages(spark):
     assert [r.doc_id for r in langid.keep_identified(rows, model).collect()] == [1]
 
 
+def test_too_many_languages_fail(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    assert langid.fit(docs).languages == ["de", "en", "ru"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.fit(docs)
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     text = " ".join(EN * 40)
     whole = langid.words_of(text)

@@ -7,8 +7,8 @@ penalty labels every word of a text, so that runs of words become spans of one l
 text's language is the one that holds most of its letters; the score is its share of them.
 
 The model is trigram counts per language, summed in Spark over a bounded sample of the
-labelled rows (at most about `max_rows` rows a language, MAX_LANGUAGES languages, whole
-texts). It is a table of BUCKETS x languages floats, broadcast at that fixed size.
+labelled rows (at most about `max_rows` rows a language, whole texts); more than
+MAX_LANGUAGES languages are an error. It is a table of BUCKETS x languages floats, broadcast at that fixed size.
 
 Null and letterless texts are `und` with score 0. Without any labelled row there is no
 language to learn and every text is `und`. Ties go to the language that sorts first. Rows
@@ -161,8 +161,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Learn from at most about `max_rows` rows of each language, chosen by hash of the id."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = (
-        rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+        rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
     )
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values; rows of the others would count as wrong languages")
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.uint32))
