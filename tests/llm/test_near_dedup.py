@@ -174,6 +174,13 @@ def test_links_at_the_threshold(spark):
     assert got == brute_groups(rows)
 
 
+def test_wordless_copies_form_groups(spark):
+    rows = [(1, "----"), (2, "----"), (3, "☃ ☃"), (4, "☃ ☃"), (5, "---"), (6, ""), (7, ""), (8, None), (9, None), (10, "a word")]
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {1: (1, 2, True), 2: (1, 2, False), 3: (3, 2, True), 4: (3, 2, False)} | {i: (i, 1, True) for i in range(5, 11)}
+    assert {r.doc_id: (r.class_id, r.group_size, r.kept) for r in got} == want
+
+
 def test_stage_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text, "x"), (2, text + " end", "y"), (9, "other words", None)], "doc_id long, text string, _rid string")

@@ -24,7 +24,7 @@ neighbours, which is the worst case: at s = 0.95 and 0.9 the miss is below 1e-9,
 3e-6 (worst 2e-5), at the threshold of 0.8 0.1 % (worst 0.5 %). Two texts of up to SHORT
 words have J >= 1/3 at the threshold, a miss of 6e-5 at most.
 
-Null and wordless texts are groups of their own; a text of one word has one k-mer, all of it. Null ids rank behind all others. Rows that repeat an id are separate rows.
+Null and empty texts are groups of their own, wordless ones form groups of exact copies; a text of one word has one k-mer, all of it. Null ids rank behind all others. Rows that repeat an id are separate rows.
 An empty table gives an empty result. Other columns are carried, whatever their names.
 """
 
@@ -132,7 +132,9 @@ def _sketch(text_col: str):
                     words = words_of(text)
                     sizes.append(len(words))
                     if not words:
-                        same.append(None), picks.append(None)
+                        # No word holds a zero byte: never the digest of a text with words.
+                        same.append(hashlib.sha256(b"\0" + text.encode("utf-8", "replace")).digest()[:16] if text else None)
+                        picks.append(None)
                         continue
                     same.append(hashlib.sha256(" ".join(words).encode("utf-8", "replace")).digest()[:16])
                     picks.append(picks_of(hashes_of(words)))
