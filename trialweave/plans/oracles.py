@@ -136,11 +136,12 @@ VIEWS: dict[str, str] = {
     "rels": "SELECT * FROM binary_rel UNION ALL SELECT * FROM nary_rel",
     "in_lines": """
         SELECT m.file, l.line_no, m.ann_line, m.id, m.type, m.start - l.off AS start, m."end" - l.off AS "end", m.text, l.text AS line_text
-        FROM envelope m JOIN all_lines l ON l.file = m.file AND m.start >= l.off AND m."end" <= l.off + length(l.text)""",
+        FROM envelope m ASOF JOIN all_lines l ON l.file = m.file AND m.start >= l.off
+        WHERE m."end" <= l.off + length(l.text)""",
     "frag_in_lines": f"""
         SELECT m.file, l.line_no, m.ann_line, m.frag_no, m.id, m.type, m.start - l.off AS start, m."end" - l.off AS "end", m.text
-        FROM frags m JOIN all_lines l ON l.file = m.file AND m.start >= l.off AND m."end" <= l.off + length(l.text)
-        WHERE m.type IN {_in(ENTITY_TYPES)}""",
+        FROM frags m ASOF JOIN all_lines l ON l.file = m.file AND m.start >= l.off
+        WHERE m."end" <= l.off + length(l.text) AND m.type IN {_in(ENTITY_TYPES)}""",
     # Texts without an annotation file are skipped.
     "kept_lines": "SELECT * FROM all_lines WHERE file IN (SELECT file FROM found)",
     "text_lines": f"SELECT * FROM kept_lines WHERE {_strip('text')} <> ''",
@@ -484,12 +485,15 @@ def _with(sql: str) -> str:
         return sql
     text = sql + " ".join(VIEWS[n] for n in done)
     # What several steps read is computed once.
-    shared = {n for n in done if len(re.findall(rf"\b{n}\b", text)) > 1}
+    shared = {n for n in done if n in ALWAYS or len(re.findall(rf"\b{n}\b", text)) > 1}
     head = "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in shared else ''}({VIEWS[n]})" for n in done)
     # A statement with views of its own continues the list.
     return head + (",\n" + sql.lstrip()[5:] if sql.lstrip().startswith("WITH ") else "\n" + sql)
 
 
+#: Kept as tables in any case: joins over ranges and of a line with itself are made once.
+ALWAYS = {"in_lines", "cand"}
+
 _SQL: dict[str, str] = {
     "criteria_counts": "SELECT studyNCTid, criteria_type, count(*) AS n_items, sum(length(text)) AS n_chars FROM items GROUP BY ALL",
     "read_studies": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS study_row, StudyNCTid, cell AS EligibilityCriteria FROM blocks",
