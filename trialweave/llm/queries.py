@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc
+from trialweave.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc, whitening
 from trialweave.llm.common import crc_mod, table
 
 
@@ -82,6 +82,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations beyond a long, which need some millions of vectors, are null here."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES = {
         op8_quality,
         op9_language,
         op10_warc,
+        op13_whitening,
     )
 }
 
