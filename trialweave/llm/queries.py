@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc, whitening
+from trialweave.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc, whitening
 from trialweave.llm.common import crc_mod, table
 
 
@@ -82,6 +82,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(shown, ",").alias("spans"),
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviations beyond a long, which need some millions of vectors, are null here."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -100,6 +114,7 @@ QUERIES = {
         op8_quality,
         op9_language,
         op10_warc,
+        op12_decontamination,
         op13_whitening,
     )
 }
@@ -118,6 +133,31 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_decontamination": r"""
+        WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+        items AS (
+            SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark, low),
+        grams AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS gram
+            FROM items, unnest(range(0, greatest(len(w) - 9, 1))) t(i) WHERE len(w) > 0),
+        docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents, low),
+        placed AS (
+            SELECT rid, n, i, array_to_string(w[i + 1 : i + n], ' ') AS gram
+            FROM docs, (SELECT DISTINCT n FROM grams), unnest(range(0, len(w) - n + 1)) t(i)),
+        hits AS (SELECT p.rid, p.i, p.n, g.item FROM placed p JOIN grams g ON g.n = p.n AND g.gram = p.gram),
+        covered AS (SELECT DISTINCT rid, i + k AS pos FROM hits, unnest(range(0, n)) t(k)),
+        spans AS (
+            SELECT rid, string_agg(s || ':' || e, ',' ORDER BY s) AS spans, sum(e - s)::BIGINT AS n_hit FROM (
+                SELECT rid, min(pos) AS s, max(pos) + 1 AS e
+                FROM (SELECT rid, pos, pos - row_number() OVER (PARTITION BY rid ORDER BY pos) AS run FROM covered) GROUP BY rid, run) GROUP BY rid),
+        found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN spans USING (rid) LEFT JOIN found USING (rid)""",
     "op10_warc": """
         WITH p AS (
             SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages),
