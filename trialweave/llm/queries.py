@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc, whitening
+from trialweave.llm import decontaminate, exact_dedup, langid, lexical_search, mixing, near_dedup, packing, pii, quality, secret_scan, topk, warc, whitening
 from trialweave.llm.common import crc_mod, table
 
 
@@ -82,6 +82,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     shown = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
@@ -114,6 +118,7 @@ QUERIES = {
         op8_quality,
         op9_language,
         op10_warc,
+        op11_search,
         op12_decontamination,
         op13_whitening,
     )
@@ -133,6 +138,29 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_search": r"""
+        WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+        docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, doc_id,
+                regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents, low),
+        counts AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) GROUP BY ALL),
+        totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_words FROM docs),
+        asked AS MATERIALIZED (
+            SELECT row_number() OVER () AS q, item_id,
+                list_distinct(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+            FROM benchmark, low),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+        scores AS (
+            SELECT q, c.rid, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(d.w) * n_docs) // n_words)))))::BIGINT AS score
+            FROM (SELECT q, unnest(w) AS term FROM asked) i JOIN weights USING (term) JOIN counts c USING (term) JOIN docs d ON d.rid = c.rid, totals
+            GROUP BY ALL),
+        ranked AS (
+            SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+            FROM scores JOIN docs USING (rid) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked JOIN asked USING (q) WHERE rank <= 50""",
     "op12_decontamination": r"""
         WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
         items AS (
