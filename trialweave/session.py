@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when the query ends, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 _TABLES: list[tuple[object, str]] = []
 
 
@@ -60,26 +76,72 @@ def write_table(df: DataFrame, name: str = "table") -> DataFrame:
 
     The rows are fixed on shared storage, later readers prune columns and push filters
     down, and a lost executor costs only its own tasks. The files go at the end of the
-    session. An empty result keeps its schema.
+    surrounding `scratch` scope or else of the session. An empty result keeps its schema.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end_with_query(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if not _TABLES:
         atexit.register(drop_tables)
     _TABLES.append((spark.sparkContext._jvm, path))
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
 
 
-def drop_tables() -> None:
-    """Delete what `write_table` wrote; DataFrames over those tables end with it."""
-    while _TABLES:
-        jvm, path = _TABLES.pop()
+def _drop(tables: list[tuple[object, str]]) -> None:
+    for jvm, path in tables:
         with contextlib.suppress(Exception):  # the session's JVM may be gone
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
+def drop_tables() -> None:
+    """Delete what `write_table` wrote; DataFrames over those tables end with it."""
+    _drop(_TABLES)
+    _TABLES.clear()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those that the yielded function was given.
+
+    What leaves the scope must not read the others any more: hand out written tables.
+    """
+    first = len(_TABLES)
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.scratch_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        own = _TABLES[first:]
+        _TABLES[first:] = [t for t in own if t[1] in kept]
+        _drop([t for t in own if t[1] not in kept])
+
+
+def tables_written() -> list[str]:
+    """The paths of all tables that still exist, in the order in which they were written."""
+    return [path for _, path in _TABLES]
+
+
+def release_tables(paths: Iterable[str], reader: DataFrame) -> list[str]:
+    """Drop these written tables, but for those that `reader` still reads; their paths are returned."""
+    own = [t for t in _TABLES if t[1] in set(paths)]
+    if not own:
+        return []
+    read = reader.inputFiles()
+    used = {path for _, path in own if any(path.split(":", 1)[-1].lstrip("/") in file for file in read)}
+    gone = [t for t in own if t[1] not in used]
+    _TABLES[:] = [t for t in _TABLES if t not in gone]
+    _drop(gone)
+    return sorted(used)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input of fewer partitions than cores one partition per core.
 
