@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.session import write_table
+from trialweave.session import scratch, write_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,6 +16,11 @@ def components(links: DataFrame) -> DataFrame:
     path. Labels are written once a round. Sums over a node's neighbours are combined before
     they move; the joins are plain equi-joins that adaptive execution splits at hot nodes.
     """
+    with scratch() as keep:
+        return keep(_components(links))
+
+
+def _components(links: DataFrame) -> DataFrame:
     both = write_table(
         links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("node", "other"), "links"
     )
@@ -30,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         before = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
         labels = write_table(lowered.join(before, "low").select("node", "old", F.least("low", "further").alias("label")), "labels")
         if not labels.where("old <> label").limit(1).count():
-            return labels.select("node", "label")
+            return write_table(labels.select("node", "label"), "labels")
         labels = labels.select("node", "label")
 
 
