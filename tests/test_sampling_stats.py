@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,50 @@ def test_multilabel_split_uses_the_rarest_label(spark, monkeypatch, bound):
     assert all(abs(p - 0.1) <= 0.02 for p in share.values() if p)
 
 
+def off_balance(rows):
+    """Largest distance of a label's rows in a split from its share, beyond one row, in percent of the label."""
+    totals, found = {}, {}
+    for ids, split in rows:
+        for i in set(ids) - {0}:
+            totals[i] = totals.get(i, 0) + 1
+            found[i, split] = found.get((i, split), 0) + 1
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    return max(max(0, abs(found.get((i, s), 0) - p * n) - 1) / n * 100 for i, n in totals.items() for s, p in shares.items())
+
+
+def skewed_labels(n=4_000):
+    """Labels that come along with rarer ones most of the time."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(n):
+        ids = {1 + min(int(rng.expovariate(0.35)), 14) for _ in range(rng.randint(0, 4))}
+        if 9 in ids or 12 in ids:
+            ids |= {5, 20}
+        rows.append((k, sorted(ids) + [0]))
+    return rows
+
+
+def test_iterative_split_balances_every_label(spark):
+    data = skewed_labels()
+    df = spark.createDataFrame(data, "k int, labels array<int>")
+    split = lambda f: [(r.labels, r.split) for r in f(df, ["k"]).collect()]
+    assert off_balance(split(sampling.iterative_split)) <= 1
+    assert off_balance(split(sampling.multilabel_split)) > 1
+    one, many = (set(sampling.iterative_split(d, ["k"]).select("k", "split").collect()) for d in (df.coalesce(1), df.repartition(9)))
+    assert one == many and len(one) == len(data)
+    counts = sampling.label_balance(sampling.iterative_split(df, ["k"])).collect()
+    assert all(r.total == r.n_train + r.n_validation + r.n_test for r in counts)
+
+
+def test_iterative_split_of_few_and_no_rows(spark):
+    schema = "k int, labels array<int>"
+    assert sampling.iterative_split(spark.createDataFrame([], schema), ["k"]).count() == 0
+    rows = [(1, [1, 2]), (2, None), (3, []), (4, [0]), (5, [2]), (6, [None, 2])]
+    got = sampling.iterative_split(spark.createDataFrame(rows, schema), ["k"]).collect()
+    assert sorted(r.k for r in got) == [1, 2, 3, 4, 5, 6] and all(r.split for r in got)
+    assert "_set" not in got[0].asDict()
+
+
 def test_label_maps_and_encoding(spark, rows, labelled):
     types = spark.createDataFrame([("Value",), ("Drug",), ("Value",), ("Non-query-able",)], "type string")
     assert rows(labels.ner_label_map(types), "id") == [

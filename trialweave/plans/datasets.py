@@ -61,7 +61,7 @@ def tagger_dataset(
     entity_types = samples.select(F.explode("entities.type").alias("type"))
     label_map = write_table(labels.ner_label_map(entity_types))
     encoded = labels.encode_tags(samples, label_map)
-    return sampling.multilabel_split(encoded, LINE_KEY, "labels", seed), label_map
+    return sampling.iterative_split(encoded, LINE_KEY, "labels", seed), label_map
 
 
 def line_mentions(documents: DataFrame, carry: Iterable[str] = ("text",)) -> DataFrame:

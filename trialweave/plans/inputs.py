@@ -121,6 +121,16 @@ def tagger_rows(spark, sf_dir):
     return written(spark, sf_dir, "tagger_rows", build)
 
 
+def balanced_rows(spark, sf_dir):
+    """The label ids of all lines with their iterative split."""
+    return written(
+        spark,
+        sf_dir,
+        "balanced_rows",
+        lambda: sampling.iterative_split(tagger_rows(spark, sf_dir).select(*datasets.LINE_KEY, "labels"), datasets.LINE_KEY),
+    )
+
+
 def sentences(spark, sf_dir):
     """Criteria items of the registry view with a sentence id."""
     return written(

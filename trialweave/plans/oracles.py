@@ -405,6 +405,52 @@ VIEWS["rel_test_counts"] = "SELECT truth, pred, count(*) AS n FROM rel_preds WHE
 VIEWS["rel_test_scores"] = _scores("rel_test_counts")
 
 
+# Iterative stratification: labels take turns, each deals its rows by what the splits still need of it.
+VIEWS["turns"] = "SELECT label_id, n, row_number() OVER (ORDER BY n, label_id) AS k FROM rarity"
+VIEWS["row_sets"] = """
+        SELECT l.file, l.line_no, coalesce(s.ks, []) AS ks FROM text_lines l LEFT JOIN (
+          SELECT file, line_no, list(k ORDER BY k) AS ks FROM row_labels JOIN turns USING (label_id) GROUP BY file, line_no) s USING (file, line_no)"""
+VIEWS["label_sets"] = """
+        SELECT ks, n, turn, sum(n) OVER (PARTITION BY turn) AS size, sum(n) OVER (PARTITION BY turn ORDER BY ks) - n AS first
+        FROM (SELECT ks, count(*) AS n, coalesce(ks[1], 0) AS turn FROM row_sets GROUP BY ks)"""
+VIEWS["dealing"] = """
+        SELECT * FROM (
+          WITH RECURSIVE turn_list AS (
+            SELECT k, n AS total, row_number() OVER (ORDER BY k = 0, k) AS step FROM (
+              SELECT k, n FROM turns WHERE k IN (SELECT turn FROM label_sets) UNION ALL SELECT 0, max(size) FROM label_sets WHERE turn = 0 HAVING count(*) > 0)),
+          wants AS (
+            SELECT step, k, total, (total + 5) // 10 AS w1, (2 * (total - (total + 5) // 10) + 9) // 18 AS w2,
+              (SELECT max(size) FROM label_sets WHERE turn = k) AS size FROM turn_list),
+          rec AS (
+            SELECT 0::BIGINT AS step, 0::BIGINT AS k, 0::HUGEINT AS n_test, 0::HUGEINT AS n_held, 0::HUGEINT AS size,
+              []::STRUCT(k BIGINT, a HUGEINT, b HUGEINT, c HUGEINT)[] AS given
+            UNION ALL
+            SELECT q.step, q.k, q.n_test, q.n_test + q.n_val, q.size, list_concat(q.given, (
+                SELECT list({'k': kk, 'a': a, 'b': b, 'c': c}) FROM (
+                  SELECT kk, sum(t) AS a, sum(h - t) AS b, sum(n - h) AS c FROM (
+                    SELECT unnest(ks) AS kk, n, h2 - h1 AS h,
+                      h2 * q.n_test // greatest(q.n_test + q.n_val, 1) - h1 * q.n_test // greatest(q.n_test + q.n_val, 1) AS t
+                    FROM (SELECT ks, n, (first + n) * (q.n_test + q.n_val) // q.size AS h2, first * (q.n_test + q.n_val) // q.size AS h1
+                          FROM label_sets WHERE turn = q.k))
+                  GROUP BY kk)))
+            FROM (
+              SELECT *, CASE WHEN d2 + d3 > 0 THEN (2 * (size - n_test) * d2 + d2 + d3) // (2 * (d2 + d3)) ELSE 0 END AS n_val FROM (
+                SELECT *, CASE WHEN d1 + d2 + d3 > 0 THEN (2 * size * d1 + d1 + d2 + d3) // (2 * (d1 + d2 + d3)) ELSE 0 END AS n_test FROM (
+                  SELECT w.step, w.k, w.size, r.given,
+                    greatest(w1 - coalesce(list_sum([x.a for x in r.given if x.k = w.k]), 0), 0)::HUGEINT AS d1,
+                    greatest(w2 - coalesce(list_sum([x.b for x in r.given if x.k = w.k]), 0), 0)::HUGEINT AS d2,
+                    greatest(total - w1 - w2 - coalesce(list_sum([x.c for x in r.given if x.k = w.k]), 0), 0)::HUGEINT AS d3
+                  FROM rec r JOIN wants w ON w.step = r.step + 1))) q)
+          SELECT k, n_test, n_held, size FROM rec WHERE step > 0)"""
+VIEWS["balanced"] = """
+        SELECT file, line_no, CASE WHEN rn <= t THEN 'test' WHEN rn <= h THEN 'validation' ELSE 'train' END AS split FROM (
+          SELECT r.file, r.line_no, row_number() OVER (PARTITION BY r.ks ORDER BY md5(r.file || '|' || r.line_no || '|42'), r.file, r.line_no) AS rn,
+            h2 - h1 AS h, h2 * n_test // greatest(n_held, 1) - h1 * n_test // greatest(n_held, 1) AS t
+          FROM row_sets r JOIN (
+            SELECT s.ks, d.n_test, d.n_held, (first + n) * d.n_held // d.size AS h2, first * d.n_held // d.size AS h1
+            FROM label_sets s JOIN dealing d ON d.k = s.turn) q ON q.ks = r.ks)"""
+
+
 def _span_metrics(seq: str, true_chunks: str, pred_chunks: str) -> str:
     return f"""
         SELECT coalesce(type, 'overall') AS label, CASE WHEN type IS NULL THEN (SELECT round(avg(CAST(tag = pred_tag AS INT)), 6) FROM {seq}) END AS accuracy,
@@ -492,7 +538,7 @@ def _with(sql: str) -> str:
 
 
 #: Kept as tables in any case: joins over ranges and of a line with itself are made once.
-ALWAYS = {"in_lines", "cand"}
+ALWAYS = {"in_lines", "cand", "label_sets", "dealing", "turns"}
 
 _SQL: dict[str, str] = {
     "criteria_counts": "SELECT studyNCTid, criteria_type, count(*) AS n_items, sum(length(text)) AS n_chars FROM items GROUP BY ALL",
@@ -583,6 +629,10 @@ _SQL: dict[str, str] = {
         FROM (SELECT *, (n + 5) // 10 AS q1 FROM (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS n,
           row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '|7'), CAST(event_id AS VARCHAR)) AS rn FROM events))""",
     "multilabel_split": "SELECT file, line_no, stratum, split FROM line_splits",
+    "iterative_split": "SELECT file, line_no, split FROM balanced",
+    "label_balance": """
+        SELECT label_id, count(*) AS total, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation,
+          count(*) FILTER (split = 'test') AS n_test FROM row_labels JOIN balanced USING (file, line_no) GROUP BY label_id""",
     "downsample_global": "SELECT file, e1_id, e2_id, label FROM u_pairs WHERE label <> 'NO_RELATION' OR u <= 0.3",
     "downsample_train": """
         SELECT file, e1_id, e2_id, s.label, split FROM splits s JOIN (SELECT file, e1_id, e2_id, u FROM u_pairs) USING (file, e1_id, e2_id)

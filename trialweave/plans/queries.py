@@ -357,6 +357,16 @@ def multilabel_split(spark, sf):
     return inputs.tagger_rows(spark, sf).select("file", "line_no", "stratum", "split")
 
 
+@query
+def iterative_split(spark, sf):
+    return inputs.balanced_rows(spark, sf).select("file", "line_no", "split")
+
+
+@query
+def label_balance(spark, sf):
+    return sampling.label_balance(inputs.balanced_rows(spark, sf))
+
+
 @query
 def downsample_global(spark, sf):
     return sampling.downsample(inputs.labelled_pairs(spark, sf), 0.3, PAIR).select(*PAIR, "label")
