@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,52 @@ def softmax_confidence(scores: Column) -> Column:
     )
 
 
+def may_follow(before: str, tag: str) -> bool:
+    """An `I-` tag needs a tag of its type in front."""
+    return not tag.startswith("I-") or before in (tag, "B-" + tag[2:])
+
+
+def viterbi(emissions: Column, tags: Sequence[str], transitions: Sequence[Sequence[float]], start: Sequence[float]) -> Column:
+    """The best tag sequence under the BIO rule, as positions in `tags`; array<array<double>> -> array<int>.
+
+    Score of a sequence: start of its first tag, transitions[before][tag] and emissions of all.
+    One fold over the row keeps the best score per tag and the tag before it; a second one
+    walks back. Among equal scores the smaller tag position wins, at each step. Tags that may
+    not begin a sequence or follow another one are left out there.
+    """
+    begin = [k for k, tag in enumerate(tags) if not tag.startswith("I-")]
+    worst = F.lit(float("-inf"))
+    best_of = lambda options: F.array_max(F.array(*options))
+
+    def first(e: Column) -> Column:
+        return F.array(*[e[k] + F.lit(float(start[k])) if k in begin else worst for k in range(len(tags))])
+
+    def step(acc: Column, e: Column) -> Column:
+        def arrive(k: int) -> Column:
+            before = [i for i, tag in enumerate(tags) if may_follow(tag, tags[k])]
+            return best_of([F.struct((acc["scores"][i] + F.lit(float(transitions[i][k]))).alias("v"), F.lit(-i).alias("b")) for i in before])
+
+        return let(
+            F.array(*[arrive(k) for k in range(len(tags))]),
+            lambda best: F.struct(
+                F.zip_with(best, e, lambda b, x: b["v"] + x).alias("scores"),
+                F.concat(acc["back"], F.array(F.transform(best, lambda b: -b["b"]))).alias("back"),
+            ),
+        )
+
+    def walk(done: Column) -> Column:
+        last = (F.array_position(done["scores"], F.array_max(done["scores"])) - 1).cast("int")
+        path = F.aggregate(F.reverse(done["back"]), F.array(last), lambda acc, b: F.concat(acc, F.array(b[F.element_at(acc, -1)])))
+        return F.reverse(path)
+
+    def decode(e: Column) -> Column:
+        none = F.array().cast("array<array<int>>")
+        done = F.aggregate(F.slice(e, 2, F.size(e)), F.struct(first(e[0]).alias("scores"), none.alias("back")), step)
+        return F.when(F.size(e) > 0, let(done, walk)).otherwise(F.array().cast("array<int>"))
+
+    return let(emissions, decode)
+
+
 def drop_ignored(truth: Column, *others: Column) -> Column:
     """array<struct<truth, p0, p1, ..>> without the positions whose truth is the ignore id."""
     named = [truth.alias("truth")] + [c.alias(f"p{i}") for i, c in enumerate(others)]

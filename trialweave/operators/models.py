@@ -22,6 +22,7 @@ from trialweave.functions.markers import inject_markers
 from trialweave.functions.tags import argmax, softmax_confidence
 from trialweave.functions.text import let
 from trialweave.operators.annotations import NO_RELATION
+from trialweave.operators.chain import ChainModel, fit_chain, predict_chain
 from trialweave.operators.count_models import CountModel, fit_counts, label_choices, predict_counts
 from trialweave.operators.labels import class_weights, encode_labels
 from trialweave.operators.metrics import classification_report, confusion_matrix, span_metrics, token_metrics, weighted_metrics
@@ -246,14 +247,15 @@ def token_rows(samples: DataFrame, key: Sequence[str], labels: str | None = "lab
     return rows.select(*out)
 
 
-LEARNERS = ("counts", "logistic")
+LEARNERS = ("counts", "logistic", "chain")
 
 
 def train_tagger(
     train: DataFrame, key: Sequence[str], learner: str = "counts", **params: float
-) -> CountModel | PipelineModel:
+) -> CountModel | PipelineModel | ChainModel:
     """H5: token classifier over window features.
 
+    `chain` learns a linear-chain model over whole sentences (params of `fit_chain`).
     `counts` learns naive Bayes over the tag names in `tags` (params: alpha); `logistic` a
     multinomial regression over the BIO ids in `labels` (params: num_features, max_iter,
     reg_param).
@@ -262,6 +264,11 @@ def train_tagger(
         raise ValueError(f"unknown learner {learner!r}")
     if learner == "counts":
         return fit_counts(write_table(token_rows(train, key, "tags").select("feats", "label"), "token-rows"), **params)
+    if learner == "chain":
+        rows = token_rows(train, key, "tags").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "feats", "label"))).alias("z"))
+        rows = write_table(rows.select(F.col("z.feats").alias("feats"), F.col("z.label").alias("tags")), "token-rows")
+        tags = {r["tag"] for r in rows.select(F.explode("tags").alias("tag")).distinct().collect()}
+        return fit_chain(rows, {"O", *tags, *("B-" + t[2:] for t in tags if t.startswith("I-"))}, **params)
     rows = token_rows(train, key).withColumn("label", F.col("label").cast("double"))
     options = {"num_features": 1 << 12, "max_iter": 20, "reg_param": 1e-4} | params
     return Pipeline(
@@ -273,12 +280,14 @@ def train_tagger(
 
 
 def predict_tags(
-    model: CountModel | PipelineModel, samples: DataFrame, label_map: DataFrame, key: Sequence[str]
+    model: CountModel | PipelineModel | ChainModel, samples: DataFrame, label_map: DataFrame | None, key: Sequence[str]
 ) -> DataFrame:
     """Add `pred_tags` (array of tag names, O on specials and pads) and `scores` (winning probability)."""
     from pyspark.ml.functions import vector_to_array
 
     rows = token_rows(samples, key, labels=None)
+    if isinstance(model, ChainModel):
+        return predict_chain(model, samples, rows, key)
     if isinstance(model, CountModel):
         scored = predict_counts(model, rows, [*key, "pos"])
     else:
@@ -455,6 +464,10 @@ def evaluate_relations(
     return weighted_metrics(counts), classification_report(counts, label_map), confusion_matrix(counts, label_map)
 
 
-def with_relations(sentences: DataFrame, make_scorer: Callable[[], Scorer], labels: Sequence[str]) -> DataFrame:
-    """H3 and D2 together: sentences with entities -> sentences with entities and relations."""
-    return nest_relations(sentences, score_relations(sentences, make_scorer, labels))
+def with_relations(sentences: DataFrame, scorer, labels: Sequence[str] = ()) -> DataFrame:
+    """H3 and D2 together: sentences with entities -> sentences with entities and relations.
+
+    `scorer` is a factory as in `score_relations`, or a saved model's `relate` side (see `learned`).
+    """
+    found = scorer.relate(sentences) if hasattr(scorer, "relate") else score_relations(sentences, scorer, labels)
+    return nest_relations(sentences, found)
