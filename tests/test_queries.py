@@ -27,8 +27,8 @@ def con():
     return c
 
 
-def test_every_oracle_has_a_query():
-    assert set(ORACLES) == set(QUERIES)
+def test_every_query_but_the_learned_chain_has_an_oracle():
+    assert set(QUERIES) - set(ORACLES) == {"train_chain_tagger"} and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -265,7 +265,7 @@ def train_tagger(
     if learner == "counts":
         return fit_counts(write_table(token_rows(train, key, "tags").select("feats", "label"), "token-rows"), **params)
     if learner == "chain":
-        rows = token_rows(train, key, "tags").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "feats", "label"))).alias("z"))
+        rows = token_rows(train, key, "tags").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "feats", F.coalesce("label", F.lit("O")).alias("label")))).alias("z"))
         rows = write_table(rows.select(F.col("z.feats").alias("feats"), F.col("z.label").alias("tags")), "token-rows")
         tags = {r["tag"] for r in rows.select(F.explode("tags").alias("tag")).distinct().collect()}
         return fit_chain(rows, {"O", *tags, *("B-" + t[2:] for t in tags if t.startswith("I-"))}, **params)

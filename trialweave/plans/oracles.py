@@ -451,6 +451,72 @@ VIEWS["balanced"] = """
             FROM label_sets s JOIN dealing d ON d.k = s.turn) q ON q.ks = r.ks)"""
 
 
+# Viterbi as a fold over the line: an element holds five scores, then five steps back per token so far.
+_LINK = lambda i, k: (3 * i + 5 * k) % 7
+_BEFORE = {k: [1, 3] if k == 3 else [2, 4] if k == 4 else range(5) for k in range(5)}
+_BEST = ", ".join("greatest(" + ", ".join(f"(a[{i + 1}] + {_LINK(i, k)}) * 8 + {7 - i}" for i in _BEFORE[k]) + ")" for k in range(5))
+VIEWS["viterbi_em"] = f"""
+        SELECT file, line_no, list([{", ".join(f"{_hash(f"lower(token) || '|{k}'")} % 20 + CASE WHEN tag = '{t}' THEN 12 ELSE 0 END" for k, t in
+          enumerate(("O", "B-Condition", "B-Drug", "I-Condition", "I-Drug")))}]::BIGINT[] ORDER BY pos) AS em
+        FROM tok_tags GROUP BY file, line_no"""
+VIEWS["viterbi_done"] = f"""
+        SELECT file, line_no, len(em) AS n, list_reduce(list_prepend([em[1][1], em[1][2] + 2, em[1][3] + 1, -1000000, -1000000], em[2:]), lambda a, e:
+          list_concat(list_transform([[{_BEST}]], lambda b: list_concat([{", ".join(f"b[{k}] // 8 + e[{k}]" for k in range(1, 6))}], a[6:],
+            [{", ".join(f"7 - b[{k}] % 8" for k in range(1, 6))}]))[1], [])) AS a
+        FROM viterbi_em"""
+
+
+# The trained models over the registry's sentences.
+VIEWS["inf_toks"] = f"""
+        SELECT sentence_id, row_number() OVER (PARTITION BY sentence_id ORDER BY k) AS pos, token, s, s + length(token) AS e FROM (
+          SELECT sentence_id, k, token, CAST(coalesce(sum(length(token)) OVER (PARTITION BY sentence_id ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+          FROM (SELECT sentence_id, unnest(range(0, len(ps))) AS k, unnest(ps) AS token
+                FROM (SELECT sentence_id, regexp_extract_all(text, '{PIECE}') AS ps FROM sentences)))
+        WHERE NOT regexp_matches(token, '^[{WS}]')"""
+VIEWS["inf_near"] = """
+        SELECT *, lower(token) AS w, lower(coalesce(lag(token) OVER l, '[CLS]')) AS p, lower(coalesce(lead(token) OVER l, '[SEP]')) AS n,
+          regexp_replace(regexp_replace(regexp_replace(token, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g') AS shape
+        FROM inf_toks WINDOW l AS (PARTITION BY sentence_id ORDER BY pos)"""
+VIEWS["inf_feats"] = """
+        SELECT sentence_id, pos, unnest(['w=' || w, 'p=' || p, 'n=' || n, 's=' || substr(shape, 1, 8), 'a=' || substr(w, 1, 3), 'z=' || right(w, 3)]) AS feature
+        FROM inf_near"""
+
+
+def _applied(model: str, feats: str, rows: str, key: str) -> str:
+    """Predictions of a count model for other rows than its own."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
+    return f"""
+        SELECT {", ".join(f"r.{k}" for k in key.split(", "))}, t.label AS pred
+        FROM {rows} r CROSS JOIN {model}_totals t
+        LEFT JOIN (SELECT {key}, count(*) AS m FROM {feats} GROUP BY ALL) z ON {on("z", "r")}
+        LEFT JOIN (SELECT {key}, label, sum(ln(1 + n)) AS gain FROM {feats} JOIN {model}_counts USING (feature) GROUP BY ALL) g
+          ON {on("g", "r")} AND g.label = t.label
+        QUALIFY row_number() OVER (PARTITION BY {", ".join(f"r.{k}" for k in key.split(", "))}
+          ORDER BY round(t.prior + coalesce(z.m, 0) * ln(1.0::DOUBLE / (t.total + t.v)) + coalesce(g.gain, 0), 6) DESC, t.label) = 1"""
+
+
+VIEWS["inf_tags"] = _applied("tagger", "inf_feats", "inf_toks", "sentence_id, pos")
+VIEWS["inf_seq"] = """
+        SELECT sentence_id AS file, 0 AS line_no, pos, s, e, token, pred AS tag FROM inf_toks JOIN inf_tags USING (sentence_id, pos)"""
+VIEWS["inf_chunks"] = _chunks("inf_seq", "tag")
+VIEWS["inf_ents"] = """
+        SELECT c.file AS sentence_id, row_number() OVER (PARTITION BY c.file ORDER BY first) AS eo, type, c.s AS start, c.e AS "end",
+          substr(t.text, c.s + 1, c.e - c.s) AS word, t.text
+        FROM inf_chunks c JOIN sentences t ON t.sentence_id = c.file"""
+VIEWS["inf_pairs"] = f"""
+        SELECT a.sentence_id, a.eo AS i, b.eo AS j, a.word AS arg1, b.word AS arg2, {_marked('a.text', 'a.start', 'a."end"', 'b.start', 'b."end"')} AS marked
+        FROM inf_ents a JOIN inf_ents b ON a.sentence_id = b.sentence_id AND a.eo <> b.eo
+        WHERE NOT greatest(a.start, b.start) < least(a."end", b."end")"""
+VIEWS["inf_grams"] = """
+        SELECT sentence_id, i, j, ws[k] || ' ' || ws[k + 1] AS feature FROM (
+          SELECT sentence_id, i, j, ws, unnest(range(1, len(ws))) AS k FROM (
+            SELECT sentence_id, i, j, regexp_extract_all(lower(marked), '\\[/?e[12]\\]|[\\p{L}\\p{N}]+') AS ws FROM inf_pairs))"""
+VIEWS["inf_rels"] = f"""
+        SELECT p.*, q.pred FROM inf_pairs p JOIN ({_applied("rel", "inf_grams", "inf_pairs", "sentence_id, i, j")}) q USING (sentence_id, i, j)
+        WHERE q.pred <> 'NO_RELATION'"""
+
+
 def _span_metrics(seq: str, true_chunks: str, pred_chunks: str) -> str:
     return f"""
         SELECT coalesce(type, 'overall') AS label, CASE WHEN type IS NULL THEN (SELECT round(avg(CAST(tag = pred_tag AS INT)), 6) FROM {seq}) END AS accuracy,
@@ -702,6 +768,18 @@ _SQL: dict[str, str] = {
     "extraction_full": """
         SELECT t.sentence_id, nct_id, criteria_type, len(words) AS n_entities, coalesce(r.n, 0) AS n_relations FROM tagged_sentences t
         LEFT JOIN (SELECT sentence_id, count(*) AS n FROM full_pairs WHERE NOT (l0 >= l1 AND l0 >= l2) GROUP BY sentence_id) r USING (sentence_id)""",
+    "viterbi_tags": """
+        SELECT file, line_no, n, md5(array_to_string(list_reduce(list_prepend(
+          [7 - greatest(a[1] * 8 + 7, a[2] * 8 + 6, a[3] * 8 + 5, a[4] * 8 + 4, a[5] * 8 + 3) % 8],
+          [a[5 * t + 1 : 5 * t + 5] for t in range(n - 1, 0, -1)]), lambda p, b: list_prepend(b[p[1] + 1], p)), ' ')) AS path_md5 FROM viterbi_done""",
+    "extraction_trained": """
+        SELECT s.sentence_id, studyNCTid AS nct_id, criteria_type, coalesce(e.n, 0) AS n_entities, md5(coalesce(e.shown, '')) AS entities_md5,
+          coalesce(r.n, 0) AS n_relations, md5(coalesce(r.shown, '')) AS relations_md5
+        FROM sentences s LEFT JOIN (
+          SELECT sentence_id, count(*) AS n, string_agg(type || ':' || start || ':' || "end", ';' ORDER BY eo) AS shown FROM inf_ents GROUP BY sentence_id) e
+          ON e.sentence_id = s.sentence_id LEFT JOIN (
+          SELECT sentence_id, count(*) AS n, string_agg(arg1 || '|' || pred || '|' || arg2, ';' ORDER BY i, j) AS shown FROM inf_rels GROUP BY sentence_id) r
+          ON r.sentence_id = s.sentence_id""",
     "train_tagger": """
         SELECT regexp_replace(tag, '^[BI]-', '') AS truth, regexp_replace(coalesce(pred, 'O'), '^[BI]-', '') AS pred, count(*) AS n
         FROM seq JOIN line_splits l USING (file, line_no) LEFT JOIN tagger_preds USING (file, line_no, pos) WHERE l.split = 'validation' GROUP BY ALL""",

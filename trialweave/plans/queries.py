@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions.markers import inject_markers
-from trialweave.functions.tags import argmax, base_label, bio_spans, drop_ignored, softmax_confidence
+from trialweave.functions.tags import argmax, base_label, bio_spans, drop_ignored, softmax_confidence, viterbi
 from trialweave.functions.text import hash_u
 from trialweave.operators import annotations as ann
-from trialweave.operators import criteria, labels, metrics, models, pairs, sampling, spans, stats, tokens
+from trialweave.operators import criteria, labels, learned, metrics, models, pairs, sampling, spans, stats, tokens
 from trialweave.plans import bridge, datasets, inputs
 from trialweave.plans.extraction import run_extraction
 from trialweave.session import scratch_path, ship_package
@@ -657,6 +657,54 @@ def evaluate_tagger(spark, sf):
     return rounded(report, "accuracy", "precision", "recall", "f1")
 
 
+VITERBI_TAGS = ("O", "B-Condition", "B-Drug", "I-Condition", "I-Drug")
+
+
+@query
+def viterbi_tags(spark, sf):
+    """Best tag sequences of all lines at fixed weights: a hash of the token and a lead for the gold tag."""
+    lines = inputs.tagged_lines(spark, sf)
+    score = lambda z, k: (hash_u(F.lower(z["token"]), k) % 20 + F.when(z["tag"] == VITERBI_TAGS[k], 12).otherwise(0)).cast("double")
+    size = len(VITERBI_TAGS)
+    body = F.slice(F.arrays_zip("tokens", F.col("tags").alias("tag")), 2, F.size("tokens") - 2)
+    tokens_of = F.transform(body, lambda z: F.struct(z["tokens"].alias("token"), z["tag"].alias("tag")))
+    emissions = F.transform(tokens_of, lambda z: F.array(*[score(z, k) for k in range(size)]))
+    links = [[(3 * i + 5 * k) % 7 for k in range(size)] for i in range(size)]
+    path = viterbi(emissions, VITERBI_TAGS, links, [2 * k % 3 for k in range(size)])
+    return lines.select("file", "line_no", F.md5(joined(path)).alias("path_md5"), F.size(path).alias("n"))
+
+
+@query
+def train_chain_tagger(spark, sf):
+    """The linear-chain tagger learned on train; its tags on the validation split, counted per truth and prediction."""
+    model = models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY, "chain")
+    found = models.predict_tags(model, _tagger_split(spark, sf, "validation"), None, datasets.LINE_KEY)
+    return metrics.token_pairs(found, "tags", "pred_tags")
+
+
+@query
+def extraction_trained(spark, sf):
+    """Tagger and relation model are trained, saved and loaded; the loaded ones run over the registry's sentences."""
+    label_map = inputs.re_label_map(spark, sf)
+    path = scratch_path(spark, "models")
+    learned.save_model(learned.TokenTagger(models.train_tagger(_tagger_split(spark, sf, "train"), datasets.LINE_KEY)), f"{path}/tagger")
+    learned.save_model(learned.PairClassifier(models.train_relation_model(_pair_split(spark, sf, "train"), label_map)), f"{path}/relations")
+    rows = run_extraction(
+        inputs.sentences(spark, sf), "ner+re", learned.load_model(spark, f"{path}/tagger"), learned.load_model(spark, f"{path}/relations")
+    )
+    entities = F.transform("entities", lambda e: F.concat_ws(":", e["entity_group"], e["start"], e["end"]))
+    relations = F.transform("relations", lambda r: F.concat_ws("|", r["arg1"], r["relation"], r["arg2"]))
+    return rows.select(
+        "sentence_id",
+        "nct_id",
+        "criteria_type",
+        F.size("entities").alias("n_entities"),
+        F.md5(F.array_join(entities, ";")).alias("entities_md5"),
+        F.size("relations").alias("n_relations"),
+        F.md5(F.array_join(relations, ";")).alias("relations_md5"),
+    )
+
+
 ALPHAS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)
 
 
