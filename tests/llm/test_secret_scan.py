@@ -59,3 +59,10 @@ def test_table(spark):
         (4, [("github", 0, 28, False), ("hex", 4, 28, True)]),
     ]
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(1, "token = 'abcdefghijkl'", "x", 3), (2, None, "y", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, spans int")
+    shown = lambda d: sorted((r.doc_id, str(r.spans)) for r in scan_secrets(d).collect())
+    assert shown(df) == shown(df.select("doc_id", "text"))

@@ -60,3 +60,10 @@ def test_rows_at_one_offset_and_empty_tables(spark):
     assert warc.audit(one.limit(0), two.limit(0)).count() == 0
     assert [r.kind for r in warc.audit(one.limit(0), two).collect()] == ["extra"]
     assert warc.warc_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark):
+    df = pages(spark)
+    wide = df.selectExpr("*", "1 AS archive", "'x' AS record", "2L AS offset")
+    shown = lambda d: sorted(map(tuple, warc.warc_records(d, archive_rows=50).select("archive", "offset", "length").collect()))
+    assert shown(wide) == shown(df)

@@ -14,7 +14,8 @@ a third of the table is spread over many tasks.
 
 Null text has size 0; a document without words is taken once and adds nothing. A null
 source is a source of its own and comes last. Rows that repeat an id are separate rows. An
-empty table gives an empty result. Results depend on values only: reruns agree.
+empty table gives an empty result. Results depend on values only: reruns agree. Other columns
+are not read; `repeat_documents` carries them, whatever their names.
 """
 
 from __future__ import annotations

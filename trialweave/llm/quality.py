@@ -12,7 +12,8 @@ broadcast at that size and their features reach the driver; all tables are of fi
 
 A null or empty text has zeros for features and is scored as such. Without both labels in
 the sample the model is the constant share of label 1 (0.5 without any row). Rows that
-repeat an id are scored each; a label that is null is not learned from.
+repeat an id are scored each; a label that is null is not learned from, and of several labels
+of an id the largest counts. Equal texts have equal scores. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -197,7 +198,8 @@ def fit(
         .agg(F.max(label_col).cast("int").alias("label"))
     )
     # About max_rows ids and labels: bounded by the parameter.
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_label_id")).select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "_label_id").select("text", "label")
     got = map_arrow(rows, _features_of, "label int, values array<double>").collect()
     values = np.array([r["values"] for r in got]).reshape(len(got), len(FEATURES))
     y = np.array([r["label"] for r in got], np.float64)
