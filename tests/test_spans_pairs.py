@@ -170,3 +170,25 @@ def test_removing_markers_restores_the_text(spark):
         for m in ("[E1]", "[/E1]", "[E2]", "[/E2]"):
             out = out.replace(m, "")
         assert out == text
+
+
+def test_tiles_of_the_pair_matrix_hold_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from trialweave.operators import models
+    from trialweave.operators.pairs import nested_pairs
+    from trialweave.operators.spans import nest_relations
+
+    entity = lambda n: [("T", f"w{i}", 3 * i, 3 * i + 2, 1.0) for i in range(n)]
+    text = lambda n: " ".join(f"{i % 100:02}" for i in range(n))
+    schema = "sentence_id int, text string, entities array<struct<entity_group:string,word:string,start:int,end:int,confidence_score:double>>"
+    df = spark.createDataFrame([(k, text(n), entity(n)) for k, n in enumerate([0, 1, 2, 5, 16, 17, 40])], schema)
+    shown = lambda d: sorted((r.sentence_id, r.i, r.j, r.e1.word, r.e2.word) for r in d.collect())
+    assert shown(nested_pairs(df)) == shown(nested_pairs(df, tile=5)) == shown(nested_pairs(df, tile=16))
+    large = nested_pairs(df.where("sentence_id = 6"), tile=5)
+    assert large.select(F.spark_partition_id()).distinct().count() > 1
+    scorer = lambda: lambda texts: [[0.0, float(len(t) % 3), 0.5] for t in texts]
+    labels = ("NO_RELATION", "AND", "OR")
+    flat = nest_relations(df, models.score_relations(df, scorer, labels))
+    rows = lambda d: sorted((r.sentence_id, str(r.relations)) for r in d.collect())
+    assert rows(models.with_relations(df, scorer, labels)) == rows(flat)

@@ -26,9 +26,9 @@ from trialweave.operators.chain import ChainModel, fit_chain, predict_chain
 from trialweave.operators.count_models import CountModel, fit_counts, label_choices, predict_counts
 from trialweave.operators.labels import class_weights, encode_labels
 from trialweave.operators.metrics import classification_report, confusion_matrix, span_metrics, token_metrics, weighted_metrics
-from trialweave.operators.pairs import nested_pairs, overlaps
+from trialweave.operators.pairs import TILE, nested_pairs, overlaps
 from trialweave.operators.skew import join_on_hot_key, join_small
-from trialweave.operators.spans import nest_relations
+from trialweave.operators.spans import nest_found
 from trialweave.operators.tokens import located_tokens, text_pieces, word_tokens
 from trialweave.session import write_table
 from trialweave.sources.studies import ENTITIES
@@ -170,7 +170,7 @@ def lexicon_tagger(
 
 def score_pairs(sentences: DataFrame, make_scorer: Callable[[], Scorer], key: str = "sentence_id") -> DataFrame:
     """The scored candidate pairs of H3: (key, i, j, e1, e2, marked_context, scores)."""
-    pairs = nested_pairs(sentences.select(key, "text", "entities")).where(
+    pairs = nested_pairs(sentences.select(key, "text", "entities"), tile=TILE).where(
         ~overlaps(F.col("e1.start"), F.col("e1.end"), F.col("e2.start"), F.col("e2.end"))
     )
     marked = inject_markers(
@@ -188,6 +188,14 @@ def score_pairs(sentences: DataFrame, make_scorer: Callable[[], Scorer], key: st
     )
 
 
+def found_relations(sentences: DataFrame, make_scorer: Callable[[], Scorer], labels: Sequence[str], key: str = "sentence_id") -> DataFrame:
+    """The predicted relations of H3 as pair numbers: key, i, j, relation, confidence_score. No text is kept."""
+    names = F.array(*[F.lit(x) for x in labels])
+    scored = score_pairs(sentences, make_scorer, key).select(key, "i", "j", "scores")
+    named = scored.withColumn("relation", names[argmax(F.col("scores"))]).where(F.col("relation") != NO_RELATION)
+    return named.select(key, "i", "j", "relation", softmax_confidence(F.col("scores")).alias("confidence_score"))
+
+
 def score_relations(
     sentences: DataFrame, make_scorer: Callable[[], Scorer], labels: Sequence[str], key: str = "sentence_id"
 ) -> DataFrame:
@@ -467,7 +475,7 @@ def evaluate_relations(
 def with_relations(sentences: DataFrame, scorer, labels: Sequence[str] = ()) -> DataFrame:
     """H3 and D2 together: sentences with entities -> sentences with entities and relations.
 
-    `scorer` is a factory as in `score_relations`, or a saved model's `relate` side (see `learned`).
+    `scorer` is a factory as in `score_relations`, or a `RelationModel` of `learned`.
     """
-    found = scorer.relate(sentences) if hasattr(scorer, "relate") else score_relations(sentences, scorer, labels)
-    return nest_relations(sentences, found)
+    found = scorer.found(sentences) if hasattr(scorer, "found") else found_relations(sentences, scorer, labels)
+    return nest_found(sentences, found)

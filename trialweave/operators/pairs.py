@@ -34,16 +34,41 @@ def candidate_pairs(
     return e1.join(e2, [*keys, "_block"]).where("e1_id <> e2_id").drop("_block")
 
 
-def nested_pairs(sentences: DataFrame, entities: str = "entities") -> DataFrame:
+#: Mentions per side of a tile of the pair matrix.
+TILE = 256
+
+
+def nested_pairs(sentences: DataFrame, entities: str = "entities", tile: int | None = None) -> DataFrame:
     """C3 on the inference layout: ordered pairs of the entities in a row's array.
 
-    Gives the sentence columns plus i, j, e1 and e2 (structs).
+    Gives the sentence columns plus i, j, e1 and e2 (structs). With `tile`, the pair matrix
+    of a row with more mentions than that is cut into tiles of `tile` first and second
+    mentions, which are dealt to the tasks; only such rows are shuffled, once per tile.
     """
     others = [c for c in sentences.columns if c != entities]
-    firsts = sentences.where(F.size(entities) >= 2).select(
-        *others, entities, F.posexplode(entities).alias("i", "e1")
+    n = F.size(entities)
+
+    def pairs_of(rows: DataFrame, firsts: Column, seconds: Column, at: Column, behind: Column) -> DataFrame:
+        one = rows.select(*rows.columns, F.posexplode(firsts).alias("_i", "e1"))
+        both = one.select(*one.columns, F.posexplode(seconds).alias("_j", "e2"))
+        placed = both.withColumn("i", F.col("_i") + at).withColumn("j", F.col("_j") + behind)
+        return placed.where("i <> j").select(*others, "i", "e1", "j", "e2")
+
+    whole, zero = F.col(entities), F.lit(0)
+    if tile is None:
+        return pairs_of(sentences.where(n >= 2), whole, whole, zero, zero)
+    small = pairs_of(sentences.where((n >= 2) & (n <= tile)), whole, whole, zero, zero)
+    side = F.ceil(n / tile).cast("int")
+    large = (
+        sentences.where(n > tile)
+        .withColumn("_side", side)
+        .withColumn("_tile", F.explode(F.sequence(F.lit(0), side * side - 1)))
+        # With a number of its own: tiles are few bytes but many pairs, so they must not be packed by size.
+        .repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("_tile"), F.xxhash64(entities))
     )
-    return firsts.select(*others, "i", "e1", F.posexplode(entities).alias("j", "e2")).where("i <> j")
+    low, high = F.expr("_tile div _side").cast("int") * tile, (F.col("_tile") % F.col("_side")) * tile
+    cut = lambda at: F.slice(whole, at + 1, tile)
+    return small.unionByName(pairs_of(large, cut(low), cut(high), low, high))
 
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

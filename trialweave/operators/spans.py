@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.functions.text import lines_with_offsets
+from trialweave.functions.markers import inject_markers
+from trialweave.functions.text import let, lines_with_offsets
 from trialweave.operators.skew import hot_blocks, replicate, scatter
 
 OFFSET_BUCKET = 4096
@@ -122,3 +123,34 @@ def nest_relations(sentences: DataFrame, relations: DataFrame, key: str = "sente
         .withColumn("relations", F.coalesce(plain, F.array().cast(f"array<{RELATION}>")))
         .drop("r")
     )
+
+
+def nest_found(sentences: DataFrame, found: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """D2 from pair numbers: `found` has key, i, j, relation, confidence_score.
+
+    Only these are shuffled; names and marked contexts are made in the row of the sentence,
+    from its own entities and text.
+    """
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "j", "relation", "confidence_score"))).alias("_r"))
+
+    def shown(r: Column) -> Column:
+        return let(
+            F.struct(F.col("entities")[r["i"]].alias("e1"), F.col("entities")[r["j"]].alias("e2")),
+            lambda e: F.struct(
+                e["e1"]["word"].alias("arg1"),
+                e["e1"]["entity_group"].alias("arg1_type"),
+                e["e2"]["word"].alias("arg2"),
+                e["e2"]["entity_group"].alias("arg2_type"),
+                r["relation"].alias("relation"),
+                r["confidence_score"].alias("confidence_score"),
+                inject_markers(
+                    F.col("text"), e["e1"]["start"], e["e1"]["end"], e["e2"]["start"], e["e2"]["end"], bounds="skip"
+                ).alias("marked_context"),
+            ),
+        )
+
+    return (
+        sentences.join(listed, key, "left")
+        .withColumn("relations", F.coalesce(F.transform("_r", shown), F.array().cast(f"array<{RELATION}>")))
+        .drop("_r")
+    )
