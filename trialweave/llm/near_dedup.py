@@ -471,4 +471,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with scratch() as keep:
         _, by_class, _ = _groups(rows.select(ids, texts, "_rid"), ids, texts, similarity)
         kept = keep(write_table(by_class.select(F.col("keep").alias("_rid")).distinct(), "near-kept"))
-    return rows.join(kept, "_rid", "left_semi").select(*safe.columns).toDF(*docs.columns)
+    # The rows that stay grow with the table: never broadcast, also while they are few.
+    return rows.hint("merge").join(kept, "_rid", "left_semi").select(*safe.columns).toDF(*docs.columns)
