@@ -298,8 +298,10 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     rows = whole.select(F.col(ids).alias("_id"), F.col(sources).alias("_source"), "_size", "_row")
     taken = mix_rows(rows).where("_copies > 0").select("_row", "_copies")
+    # The copies grow with the table: never broadcast, also while they are few.
     return (
         whole.drop("_size")
+        .hint("merge")
         .join(taken, "_row")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
         .select(*safe.columns)
