@@ -609,6 +609,7 @@ ALWAYS = {"in_lines", "cand", "label_sets", "dealing", "turns"}
 _SQL: dict[str, str] = {
     "criteria_counts": "SELECT studyNCTid, criteria_type, count(*) AS n_items, sum(length(text)) AS n_chars FROM items GROUP BY ALL",
     "read_studies": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS study_row, StudyNCTid, cell AS EligibilityCriteria FROM blocks",
+    "read_studies_split": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS study_row, StudyNCTid, cell AS EligibilityCriteria FROM blocks",
     "split_lines": "SELECT doc_id AS study_row, StudyNCTid, line_no, line FROM block_lines WHERE line <> ''",
     "tag_sections": "SELECT doc_id AS study_row, StudyNCTid, line_no, line, is_header, criteria_type FROM tagged",
     "extract_bullets": "SELECT study_row, StudyNCTid, line_no, criteria_type, text FROM bullets",

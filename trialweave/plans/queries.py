@@ -68,6 +68,15 @@ def read_studies(spark, sf):
     return src.read_studies(spark, path)
 
 
+@query
+def read_studies_split(spark, sf):
+    """The same files, each read by several tasks."""
+    path = scratch_path(spark, "studies")
+    ordered = bridge.studies(spark, sf).repartitionByRange("study_row").sortWithinPartitions("study_row")
+    ordered.drop("study_row").write.csv(path, header=True, escape='"')
+    return src.read_studies_split(spark, path)
+
+
 @query
 def split_lines(spark, sf):
     return criteria.split_lines(bridge.studies(spark, sf))
