@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,49 @@ def test_scores(spark):
                   F.transform("t", base_label).alias("b"), drop_ignored(F.col("m"), F.col("t")).alias("d")).first()
     assert (r.a, r.c, r.b) == (1, 0.4498, ["a-b", "O"])
     assert [tuple(x) for x in r.d] == [(3, "O")]
+
+
+def swept_by_hand(offsets, entities):
+    """Every token against every entity, the last one that applies wins."""
+    out, before = [], 0
+    for s, e in offsets:
+        tag = "O"
+        for kind, x, y in entities:
+            if s >= x and e <= y:
+                tag = ("I-" if before > x else "B-") + kind
+            elif s < x < e:
+                tag = "B-" + kind
+        out.append(tag)
+        before = e
+    return out
+
+
+SWEPT = "k int, offsets array<struct<start:int,end:int>>, entities array<struct<id:string,type:string,start:bigint,end:bigint,text:string>>"
+
+
+def test_sweep_equals_all_tokens_against_all_entities(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k in range(300):
+        offsets, at = [], 0
+        for _ in range(rng.randint(0, 14)):
+            at += rng.randint(0, 2)
+            offsets.append((at, at + rng.randint(1, 4)))
+            at = offsets[-1][1]
+        spans = sorted(((rng.randint(0, at + 1), rng.choice("ABC")) for _ in range(rng.randint(0, 6))), key=lambda x: x[0])
+        entities = [(kind, s, s + rng.randint(-1, 12)) for s, kind in spans]
+        rows.append((k, [(0, 0), *offsets, (0, 0), (0, 0)], [("T", kind, s, e, "") for kind, s, e in entities]))
+        want[k] = ["O", *swept_by_hand(offsets, entities), "O", "O"]
+    for masked in (False, True):
+        got = {r.k: r.tags for r in tokens.align_bio(spark.createDataFrame(rows, SWEPT), masked).collect()}
+        assert got == {k: [None, *w[1:-2], None, None] if masked else w for k, w in want.items()}
+
+
+def test_sweep_of_a_long_line(spark):
+    offsets = [(0, 0), *((3 * i, 3 * i + 2) for i in range(1, 20_000)), (0, 0)]
+    entities = [("T", "A", 12 * i, 12 * i + 6, "") for i in range(5_000)]
+    df = spark.createDataFrame([(0, offsets, entities)], SWEPT)
+    began = time.time()
+    tags = tokens.align_bio(df).first().tags
+    assert time.time() - began < 60
+    assert tags[1:-1] == swept_by_hand(offsets[1:-1], [("A", s, e) for _, _, s, e, _ in entities[:5_000]])

@@ -147,48 +147,69 @@ def encode_tokens(
     ).drop("ids")
 
 
+def _swept_tags(offsets: Column, entities: Column) -> Column:
+    """One BIO tag per non-special token, by one sweep over tokens and entities in offset order.
+
+    A token comes behind the entities that begin before its end. The stack holds the
+    entities that may still cover a token: later ones on top, ends falling towards it, as an
+    entity that ends no later than one behind it can never win again. So each step looks at
+    the entities that are nested at one place, not at all of them.
+    """
+    step = "struct<key:bigint,no:int,start:bigint,end:bigint,type:string>"
+    tokens = F.filter(offsets, lambda o: ~((o["start"] == 0) & (o["end"] == 0)))
+    event = lambda key, i, x, kind: F.struct(
+        key.cast("bigint").alias("key"), i.alias("no"), x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"), kind.alias("type")
+    )
+    none = F.lit(None).cast("string")
+    events = F.array_sort(
+        F.concat(
+            F.transform(tokens, lambda o, i: event(o["end"].cast("bigint") * 2 - 1, i, o, none)).cast(f"array<{step}>"),
+            F.transform(entities, lambda x, i: event(x["start"].cast("bigint") * 2, i, x, x["type"])).cast(f"array<{step}>"),
+        )
+    )
+    state = lambda stack, last, before, out: F.struct(
+        stack.alias("stack"), last.alias("last"), before.cast("bigint").alias("before"), out.alias("out")
+    )
+
+    def enter(acc: Column, x: Column) -> Column:
+        return state(F.concat(F.filter(acc["stack"], lambda e: e["end"] > x["end"]), F.array(x)), x, acc["before"], acc["out"])
+
+    def tag(acc: Column, t: Column) -> Column:
+        def decided(stack: Column) -> Column:
+            top = F.try_element_at(stack, F.lit(-1))
+            inside = F.concat(F.when(acc["before"] > top["start"], "I-").otherwise("B-"), top["type"])
+            found = F.when(acc["last"]["start"] > t["start"], F.concat(F.lit("B-"), acc["last"]["type"])).otherwise(
+                F.coalesce(inside, F.lit("O"))
+            )
+            return state(stack, acc["last"], t["end"], F.concat(acc["out"], F.array(found)))
+
+        return let(F.filter(acc["stack"], lambda e: e["end"] >= t["end"]), decided)
+
+    start = state(F.array().cast(f"array<{step}>"), F.lit(None).cast(step), F.lit(0), F.array().cast("array<string>"))
+    return F.aggregate(events, start, lambda acc, x: F.when(x["type"].isNull(), tag(acc, x)).otherwise(enter(acc, x)), lambda acc: acc["out"])
+
+
 def align_bio(df: DataFrame, mask_special: bool = False) -> DataFrame:
     """Add `tags`, one BIO tag per token offset, from the `entities` array in start order.
 
     A later entity overwrites an earlier one. A token inside the entity is `B-` if it is
     the entity's first, else `I-`; a token that straddles the entity start is `B-`; one
     that straddles the end is left as it was. Specials and pads are `O`, or null with
-    `mask_special` (the ignore label).
+    `mask_special` (the ignore label); they stand at the beginning and behind all tokens.
 
     Tokens are in text order and disjoint, so the entity has begun exactly when the token
     before ends behind the entity start.
     """
-
-    def tag(offset: Column, before: Column, entities: Column) -> Column:
-        s, e = offset["start"], offset["end"]
-
-        def overwrite(acc: Column, x: Column) -> Column:
-            inside = (s >= x["start"]) & (e <= x["end"])
-            straddles = (s < x["start"]) & (e > x["start"])
-            begun = inside & (before > x["start"])
-            return (
-                F.when(begun, F.concat(F.lit("I-"), x["type"]))
-                .when(inside | straddles, F.concat(F.lit("B-"), x["type"]))
-                .otherwise(acc)
-            )
-
-        return F.aggregate(entities, F.lit("O"), overwrite)
-
     special = F.lit(None).cast("string") if mask_special else F.lit("O")
+    is_special = lambda o: (o["start"] == 0) & (o["end"] == 0)
 
     def aligned(offsets: Column) -> Column:
-        def per_token(ents: Column) -> Column:
-            return F.transform(
-                offsets,
-                lambda o, i: F.when((o["start"] == 0) & (o["end"] == 0), special).otherwise(
-                    tag(o, F.when(i > 0, offsets[i - 1]["end"]).otherwise(0), ents)
-                ),
-            )
-
-        if mask_special:
-            return let(F.col("entities"), per_token)
-        none = F.array_repeat(F.lit("O"), F.size(offsets))
-        return let(F.col("entities"), lambda ents: F.when(F.size(ents) == 0, none).otherwise(per_token(ents)))
+        lead = F.when(is_special(offsets[0]), 1).otherwise(0)
+        spread = lambda tags: F.transform(
+            offsets, lambda o, i: F.when(is_special(o), special).otherwise(F.coalesce(F.get(tags, i - lead), F.lit("O")))
+        )
+        plain = spread(F.array().cast("array<string>")) if mask_special else F.array_repeat(F.lit("O"), F.size(offsets))
+        return F.when(F.size("entities") == 0, plain).otherwise(let(_swept_tags(offsets, F.col("entities")), spread))
 
     return df.withColumn("tags", let(F.col("offsets"), aligned))
 
