@@ -451,6 +451,33 @@ VIEWS["balanced"] = """
             FROM label_sets s JOIN dealing d ON d.k = s.turn) q ON q.ks = r.ks)"""
 
 
+# Subwords by a vocabulary of the benchmark's words, longest match first.
+VIEWS["sub_pieces"] = f"""
+        SELECT DISTINCT CASE WHEN i > 0 THEN '##' ELSE '' END || substr(w, i + 1, n) AS piece
+        FROM (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '{PIECE}')) AS w FROM benchmark) WHERE NOT regexp_matches(w, '^[{WS}]')),
+          unnest(range(0, length(w))) a(i), unnest(range(1, 5)) b(n)
+        WHERE i + n <= length(w) AND (i = 0 OR n < 4)"""
+VIEWS["sub_vocab"] = """
+        SELECT piece, 7 + row_number() OVER (ORDER BY piece) AS id FROM sub_pieces"""
+VIEWS["sub_cut"] = """
+        SELECT * FROM (
+          WITH RECURSIVE rec AS (
+            SELECT token, CASE WHEN length(lower(token)) = length(token) THEN lower(token) ELSE token END AS form, 0::BIGINT AS done,
+              []::BIGINT[] AS ids, []::BIGINT[] AS ends FROM (SELECT DISTINCT token FROM toks) WHERE length(token) <= 100
+            UNION ALL
+            SELECT token, form, done + n, list_append(ids, id), list_append(ends, done + n) FROM (
+              SELECT r.*, v.id, t.n, row_number() OVER (PARTITION BY token ORDER BY t.n DESC) AS rn
+              FROM rec r CROSS JOIN (SELECT unnest(range(1, 5)) AS n) t
+              JOIN sub_vocab v ON v.piece = CASE WHEN r.done > 0 THEN '##' ELSE '' END || substr(r.form, r.done + 1, t.n)
+              WHERE r.done + t.n <= length(r.form)) WHERE rn = 1)
+          SELECT token, ids, ends FROM rec WHERE done = length(form))"""
+VIEWS["sub_seq"] = """
+        SELECT file, line_no, pos, s, unnest(coalesce(ids, [1::BIGINT])) AS id, unnest(coalesce(list_prepend(0, ends[:-2]), [0::BIGINT])) AS b,
+          unnest(coalesce(ends, [length(token)::BIGINT])) AS e
+        FROM toks LEFT JOIN sub_cut USING (token) WHERE token NOT IN ('[E1]', '[/E1]', '[E2]', '[/E2]')
+        UNION ALL SELECT file, line_no, pos, s, CASE token WHEN '[E1]' THEN 4 WHEN '[/E1]' THEN 5 WHEN '[E2]' THEN 6 ELSE 7 END, 0, length(token)
+        FROM toks WHERE token IN ('[E1]', '[/E1]', '[E2]', '[/E2]')
+        UNION ALL SELECT file, line_no, pos, 0, CASE token WHEN '[CLS]' THEN 2 ELSE 3 END, 0, 0 FROM specials"""
 # Viterbi as a fold over the line: an element holds five scores, then five steps back per token so far.
 _LINK = lambda i, k: (3 * i + 5 * k) % 7
 _BEFORE = {k: [1, 3] if k == 3 else [2, 4] if k == 4 else range(5) for k in range(5)}
@@ -769,6 +796,9 @@ _SQL: dict[str, str] = {
     "extraction_full": """
         SELECT t.sentence_id, nct_id, criteria_type, len(words) AS n_entities, coalesce(r.n, 0) AS n_relations FROM tagged_sentences t
         LEFT JOIN (SELECT sentence_id, count(*) AS n FROM full_pairs WHERE NOT (l0 >= l1 AND l0 >= l2) GROUP BY sentence_id) r USING (sentence_id)""",
+    "subword_tokens": """
+        SELECT file, line_no, count(*) AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY pos, b)) AS ids_md5,
+          md5(string_agg((s + b) || ':' || (s + e), ' ' ORDER BY pos, b)) AS offsets_md5 FROM sub_seq GROUP BY file, line_no""",
     "viterbi_tags": """
         SELECT file, line_no, n, md5(array_to_string(list_reduce(list_prepend(
           [7 - greatest(a[1] * 8 + 7, a[2] * 8 + 6, a[3] * 8 + 5, a[4] * 8 + 4, a[5] * 8 + 3) % 8],

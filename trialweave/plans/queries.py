@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.functions.markers import inject_markers
+from trialweave.functions.markers import MARKERS, inject_markers
 from trialweave.functions.tags import argmax, base_label, bio_spans, drop_ignored, softmax_confidence, viterbi
 from trialweave.functions.text import hash_u
 from trialweave.operators import annotations as ann
-from trialweave.operators import criteria, labels, learned, metrics, models, pairs, sampling, spans, stats, tokens
+from trialweave.operators import criteria, labels, learned, metrics, models, pairs, sampling, spans, stats, subwords, tokens
+from trialweave.operators.ordering import row_index
 from trialweave.plans import bridge, datasets, inputs
 from trialweave.plans.extraction import run_extraction
 from trialweave.session import scratch_path, ship_package
@@ -666,6 +667,30 @@ def evaluate_tagger(spark, sf):
     return rounded(report, "accuracy", "precision", "recall", "f1")
 
 
+def _piece_list(spark, sf):
+    """A vocabulary of beginnings and inner parts of the benchmark's words, behind the special tokens."""
+    word = tokens.word_tokens(F.lower("text"))
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(word).alias("w")).select("w.token").distinct()
+    starts = words.select("token", F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("i"))
+    place = starts.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"))
+    part = F.substr("token", F.col("i") + 1, F.col("n"))
+    pieces = place.where((F.col("i") + F.col("n") <= F.length("token")) & ((F.col("i") == 0) | (F.col("n") < 4))).select(
+        F.concat(F.when(F.col("i") > 0, subwords.INSIDE).otherwise(""), part).alias("piece")
+    )
+    fixed = [*tokens.SPECIAL_TOKENS, *MARKERS]
+    numbered = row_index(pieces.distinct(), "piece", out="id").select("piece", (F.col("id") + len(fixed)).alias("id"))
+    return spark.createDataFrame([(t, i) for i, t in enumerate(fixed)], "piece string, id bigint").unionByName(numbered)
+
+
+@query
+def subword_tokens(spark, sf):
+    rows = inputs.tagged_lines(spark, sf).select("file", "line_no", "tokens", "offsets", "attention_mask")
+    cut = subwords.subword_tokens(rows, _piece_list(spark, sf), datasets.LINE_KEY)
+    return cut.select(
+        "file", "line_no", F.size("input_ids").alias("n"), F.md5(joined("input_ids")).alias("ids_md5"), F.md5(offsets_text("offsets")).alias("offsets_md5")
+    )
+
+
 VITERBI_TAGS = ("O", "B-Condition", "B-Drug", "I-Condition", "I-Drug")
 
 
