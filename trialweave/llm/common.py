@@ -22,13 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """A table of one small file gets one partition per core; others keep the scan's partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores, key) if len(files) == 1 else df
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """`mapInArrow` for functions of this package, which the workers must be able to import."""
     ship_package(df.sparkSession)
