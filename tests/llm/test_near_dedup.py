@@ -187,3 +187,22 @@ def test_stage_and_empty_table(spark):
     assert sorted(map(tuple, nd.drop_near_copies(docs).select("doc_id", "_rid").collect())) == [(2, "y"), (9, None)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_groups(empty).count() == 0
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(21)
+    for nodes, count in ((40, 15), (40, 40), (200, 150), (12, 60)):
+        links = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)]
+        parent = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            if a != b:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {x: root(x) for x in parent}

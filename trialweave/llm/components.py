@@ -17,7 +17,31 @@ def components(links: DataFrame) -> DataFrame:
     they move; the joins are plain equi-joins that adaptive execution splits at hot nodes.
     """
     with scratch() as keep:
-        return keep(_components(links))
+        return keep(_contracted(links))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Each node hangs on its smallest neighbour; rounds run over the links between such neighbours only.
+
+    Most nodes of a large group have the same few smaller neighbours, so their links become
+    a few equal ones. A node that is nobody's smaller neighbour takes part in no round.
+    """
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = write_table(ordered, "links")
+    lowest = write_table(edges.groupBy("b").agg(F.min("a").alias("low")), "lowest")
+    heads = write_table(edges.select("a").distinct(), "heads")
+    between = edges.join(lowest, "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct()
+    hung = lowest.join(heads.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("low").alias("a"), "b")
+    core = _components(between.unionByName(hung))
+    placed = lowest.select(F.col("b").alias("node"), "low").unionByName(
+        heads.join(lowest.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("low"))
+    )
+    return write_table(
+        placed.join(core, "node", "left")
+        .join(core.toDF("low", "of_low"), "low", "left")
+        .select("node", F.coalesce("label", "of_low", "low").alias("label")),
+        "labels",
+    )
 
 
 def _components(links: DataFrame) -> DataFrame:
