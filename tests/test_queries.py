@@ -67,7 +67,7 @@ def test_no_token_is_lost(spark):
     from trialweave.plans import inputs
 
     lines = inputs.lines(spark, SMALL)
-    words = lines.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]"), F.lit(0))))).first()[0]
+    words = lines.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"), F.lit(0))))).first()[0]
     rows = QUERIES["tokenize_offsets"](spark, SMALL)
     assert rows.agg(F.sum(F.col("n_real") - 2)).first()[0] == words
 
