@@ -3,9 +3,10 @@
 The histogram of lengths over all documents is the only thing the boundaries depend on. A
 dynamic program over it finds the K boundaries with the least padding; batches of a token
 budget then form inside each bucket, whose rows are padded to the longest of them. The
-histogram is aggregated before it moves. Up to LENGTHS distinct lengths it is exact; beyond,
-lengths over EXACT are rounded up by less than 1/STEPS for the choice of the boundaries, so
-that GRID values are enough and the driver holds a fixed amount at any scale. Positions inside
+histogram is aggregated before it moves, and exact at every size. The driver holds one entry
+per distinct length: u different lengths have u * (u - 1) / 2 tokens at least, so 10^10 tokens
+have fewer than 141,422. Only a caller who asks for the `grid` has lengths over EXACT rounded up
+by less than 1/STEPS for the choice of the boundaries, then at every size. Positions inside
 a bucket come from slice counts and a rank within small slices, never from one sort of a
 bucket.
 
@@ -18,6 +19,8 @@ come. Other columns are not read; an id column that is named like a result comes
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from trialweave.llm.common import WORD
 from trialweave.session import write_table
 
-#: So many distinct lengths are boundaries as they are.
+#: With more distinct lengths the log says that the search for the boundaries takes a while; it is the same.
 LENGTHS = 16_384
-#: With more, lengths up to EXACT are; longer ones are rounded up to a grid with
+#: On the grid lengths up to EXACT stay; longer ones are rounded up to
 #: STEPS values per doubling. GRID bounds the number of values up to 2^62.
 EXACT = 2_048
 STEPS = 128
@@ -92,12 +95,15 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     )
 
 
-def boundaries(lengths: DataFrame, buckets: int) -> list[int]:
-    """At most LENGTHS + 1 rows, or GRID, reach the driver."""
-    exact = lengths.groupBy(F.col("n_tokens").alias("bound")).agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
-    rows = sorted(exact.limit(LENGTHS + 1).collect())
+def boundaries(lengths: DataFrame, buckets: int, grid: bool = False) -> list[int]:
+    """One row per distinct length reaches the driver, or with `grid` GRID at most."""
+    if grid:
+        counted = length_histogram(lengths)
+    else:
+        counted = lengths.groupBy(F.col("n_tokens").alias("bound")).agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
+    rows = sorted(counted.collect())
     if len(rows) > LENGTHS:
-        rows = sorted(length_histogram(lengths).collect())
+        logging.getLogger(__name__).info("boundaries among %d distinct lengths", len(rows))
     bound, count, tokens = (np.array([r[i] for r in rows], np.int64) for i in range(3))
     return optimal_boundaries(bound, count, tokens, buckets)
 
@@ -120,6 +126,7 @@ def pack(
     buckets: int = 16,
     budget: int = 65_536,
     slice_rows: int = SLICE_ROWS,
+    grid: bool = False,
 ) -> DataFrame:
     """(id, n_tokens) -> id, n_tokens, bucket, padded, batch, slot.
 
@@ -127,7 +134,7 @@ def pack(
     bucket but the last are full. `lengths` should be a written table, as it is read for
     the histogram, the slice counts and the ranks.
     """
-    bounds = boundaries(lengths, buckets)
+    bounds = boundaries(lengths, buckets, grid)
     if not bounds:
         bounds = [0]
     column = F.lit(len(bounds) - 1)
