@@ -46,3 +46,34 @@ def test_sampled_hot_keys_do_not_change_the_result(tables):
 def test_small_join(tables, bound):
     many, one = tables
     assert skew.join_small(many, one, ["k"], "inner", bound).count() == many.join(one, "k").count()
+
+
+def test_a_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    from trialweave.session import spread
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def at(name, row_group_size):
+        pq.write_table(pa.table({"k": list(range(20_000))}), tmp_path / name, row_group_size=row_group_size)
+        return spark.read.parquet(str(tmp_path / name))
+
+    def held(df):
+        return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    cores = spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "4096")
+        one = at("one.parquet", 20_000)
+        assert one.rdd.getNumPartitions() >= cores and held(one) == [20_000]
+        dealt = spread(one)
+        assert len(held(dealt)) >= cores and held(dealt)[-1] * cores <= 2 * 20_000
+        assert sorted(r.k for r in dealt.collect()) == list(range(20_000))
+        many = at("many.parquet", 200)
+        assert spread(many) is many
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spread(spark.range(0, 0, 1, cores)).count() == 0
