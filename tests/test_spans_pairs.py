@@ -185,6 +185,19 @@ def test_markers(spark):
         marked(spark, "abc", 0, 1, 2, 3, bounds="other")
 
 
+@pytest.mark.parametrize("bounds", ["clamp", "skip"])
+def test_markers_cut_at_once_are_those_inserted_one_by_one(spark, bounds):
+    text, names = "a\U0001f600c", ("[E1]", "[/E1]", "[E2]", "[/E2]")
+    data = [p for p in itertools.product(range(5), repeat=4)]
+    df = spark.createDataFrame([(text, *p) for p in data], "t string, a int, b int, c int, d int")
+    got = df.select("a", "b", "c", "d", inject_markers(F.col("t"), F.col("a"), F.col("b"), F.col("c"), F.col("d"), bounds=bounds).alias("m"))
+    for *at, marked_text in got.collect():
+        want = text
+        for place, _, name in sorted((-p, k, names[k]) for k, p in enumerate(at)):
+            want = want if bounds == "skip" and -place > len(want) else want[: -place] + name + want[-place :]
+        assert marked_text == want
+
+
 def test_removing_markers_restores_the_text(spark):
     text = "abcdefgh"
     for s1, e1, s2, e2 in [(0, 8, 2, 4), (3, 3, 3, 3), (1, 5, 4, 8)]:
