@@ -179,3 +179,18 @@ def test_prefixes_of_tags(spark):
     df = spark.createDataFrame([(n,) for n in names], "tag string")
     got = [r[0] for r in df.select(base_label(F.col("tag"))).collect()]
     assert got == ["X", "a-b", "O", "", "XB-c", "", None, "I-y"]
+
+
+def test_tokens_and_offsets_are_cut_in_one_batch_step(spark):
+    """No lambda runs over the pieces; null, empty and blank texts and characters beyond the first plane are right."""
+    texts = [(0, None), (1, ""), (2, "  \n"), (3, "a \U0001f600b [E1]c, d́"), (4, "x")]
+    df = tokens.tokenize_offsets(spark.createDataFrame(texts, "k int, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "btrim" not in plan and "transform(" not in plan
+    got = {r.k: (r.tokens, r.offsets and [tuple(o) for o in r.offsets], r.attention_mask) for r in df.collect()}
+    assert got[0][:2] == (None, None)
+    assert got[1][0] == got[2][0] == ["[CLS]", "[SEP]"] and got[2][1] == [(0, 0), (0, 0)]
+    words, spans_ = got[3][0][1:-1], got[3][1][1:-1]
+    assert words == ["a", "\U0001f600", "b", "[E1]", "c", ",", "d́"]
+    assert [texts[3][1][s:e] for s, e in spans_] == words
+    assert got[4] == (["[CLS]", "x", "[SEP]"], [(0, 0), (0, 1), (0, 0)], [1, 1, 1])
