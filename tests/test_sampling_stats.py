@@ -241,3 +241,10 @@ def test_metrics_of_nothing(spark):
     df = spark.createDataFrame([], "t array<string>, p array<string>")
     assert [r.label for r in span_metrics(df, "t", "p").collect()] == []
     assert weighted_metrics(spark.createDataFrame([], "truth string, pred string")).first().f1 == 0.0
+
+
+def test_present_labels_are_made_distinct_before_they_are_filtered(spark):
+    df = spark.createDataFrame([(1, [3, -100, 0, 3, None, 2]), (2, []), (3, None)], "k int, labels array<int>")
+    seen = df.select("k", sampling._present("labels").alias("p"))
+    assert "filter(array_distinct(labels" in seen._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, seen.collect())) == [(1, [3, 2]), (2, []), (3, None)]
