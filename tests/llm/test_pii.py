@@ -3,9 +3,10 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from trialweave.llm import pii
-from trialweave.llm.boosting import boost, isotonic, sigmoid
+from trialweave.llm.boosting import bin_edges, binned, boost, boost_counted, counted_edges, isotonic, sigmoid
 
 PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -182,3 +183,40 @@ def test_clashing_columns_are_not_read(spark):
     shown = lambda d: sorted((r.doc_id, str(r.spans)) for r in pii.find_pii(d, none).collect())
     assert shown(df) == shown(df.select("doc_id", "text"))
     assert pii.fit(df) is not None
+
+
+def test_every_document_is_learned_from(spark):
+    """26,000 documents: the base spans in front are learned from, and so are the rows behind the first 20,000."""
+    import numpy as np
+
+    size = 26_000
+    docs = spark.range(size).select("id", F.concat(F.lit("mail a"), "id", F.lit("@example.com now")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+    kept, pii.boost_counted = pii.boost_counted, lambda b, y, n, edges: (seen.add(int(n.sum())), kept(b, y, n, edges))[1]
+    try:
+        detector = pii.fit(docs, "id")
+    finally:
+        pii.boost_counted = kept
+    calibrating = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0).count()
+    # Per text the address, two rewritings and a near miss.
+    assert seen.value == 4 * (size - calibrating)
+    assert detector.trees is not None and np.isfinite(detector.steps[1]).all()
+
+
+def test_counted_rows_learn_what_repeated_rows_learn():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 60, size=(400, 3)).astype(float)
+    y = ((x[:, 0] > 30) ^ (x[:, 1] > 20)).astype(float)
+    n = rng.integers(1, 9, size=400)
+    edges = []
+    for f in range(3):
+        seen, at = np.unique(x[:, f], return_inverse=True)
+        edges.append(counted_edges(seen, np.bincount(at, weights=n), 32))
+        assert np.allclose(edges[-1], bin_edges(np.repeat(x[:, f], n), 32))
+    model = boost_counted(binned(x, edges), y, n.astype(float), edges)
+    assert np.allclose(model.margin(x), boost(np.repeat(x, n, axis=0), np.repeat(y, n)).margin(x))
+    margin = np.round(model.margin(x), 1)
+    ours, theirs = isotonic(margin, 1 - y, n), isotonic(np.repeat(margin, n), np.repeat(1 - y, n))
+    assert all(np.allclose(a, b) for a, b in zip(ours, theirs, strict=True))
