@@ -176,3 +176,25 @@ def test_count_model_is_naive_bayes(spark):
                 want = min("xy", key=lambda label: (-round(score(label, feats, alpha), 6), label))
                 assert got[k].choices[i].label == want
     assert {r.k: r.pred for r in predict_counts(model, test, ["k"]).collect()}[3] == "x"
+
+
+def test_features_are_made_once(spark):
+    """Neither the count of the features nor a filter of empty lists works them out again."""
+    from trialweave.operators.count_models import fit_counts, label_choices
+
+    train = spark.createDataFrame([(["a b", "b c"], "x"), (["b d"], "y")], "feats array<string>, label string")
+    model = fit_counts(train)
+    texts = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, "b")], "k int, marked string")
+    chosen = label_choices(model, texts.select("k", models.marked_bigrams().alias("feats")), ["k"])
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # their number and their gains
+    assert sorted(r.k for r in chosen.collect()) == [1, 2, 3, 4]
+    pairs = spark.createDataFrame(
+        [("f", "b a c", 0, 1, 2, 3, "x", "1", "2"), ("f", "d c", 0, 1, 2, 3, "y", "1", "3")],
+        "file string, text string, e1_start int, e1_end int, e2_start int, e2_end int, label string, e1_id string, e2_id string",
+    )
+    label_map = spark.createDataFrame([(0, "x"), (1, "y")], "id int, label string")
+    found = models.predict_relations(models.train_relation_model(pairs, label_map), pairs, label_map)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == [*["file", "e1_id", "e2_id"], *[c for c in pairs.columns if c not in ("file", "e1_id", "e2_id")], "pred"]
+    assert {(r.e2_id, r.text, r.pred) for r in found.collect()} == {("2", "b a c", "x"), ("3", "d c", "y")}
