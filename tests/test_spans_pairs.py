@@ -258,3 +258,16 @@ def test_split_pairs_read_no_text(spark, tmp_path):
     # The mentions' own text is not written for pairs either; the lexicon has it.
     assert "text" not in inputs.line_mentions(spark, str(tmp_path)).columns
     assert "text" in inputs.mention_texts(spark, str(tmp_path)).columns
+
+
+def test_a_sentence_of_200_mentions_is_dealt_to_many_tasks(spark):
+    """Its pairs cost as many passes over the text, so they must not come from one task; tiles bring their own mentions only."""
+    from trialweave.operators.pairs import TILE, nested_pairs
+
+    mentions = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.struct(k.alias("word"), (k % 3).alias("kind")))
+    df = spark.range(1).select(F.col("id").alias("sentence_id"), F.lit("text").alias("text"), mentions.alias("entities"))
+    found = nested_pairs(df, tile=TILE)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 1
+    assert {(r.i, r.j) for r in rows} == {(i, j) for i in range(200) for j in range(200) if i != j} and len(rows) == 200 * 199
+    assert all(r.e1.word == r.i and r.e2.word == r.j for r in rows)
